@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -155,8 +156,6 @@ def repair(text: str | None) -> tuple[str | None, int, bool]:
 
 def repair_encoding(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, text, damaged, restored, spans, lost) for every row; only rows with non-ASCII text reach Python."""
-    import pandas as pd
-
     @F.pandas_udf("restored string, spans int, lost boolean")
     def fix(col: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([repair(t) for t in col], columns=["restored", "spans", "lost"])

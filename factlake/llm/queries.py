@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlake.common import table
-from factlake.llm import encoding, repeated_lines
+from factlake.llm import encoding, repeated_lines, sentences
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,5 +30,15 @@ def p2_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines.without_repeated_lines(table(spark, sf_dir, "chunks"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_cleaned)}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each sentence unit of every chunk ends."""
+    return sentences.sentence_ends(table(spark, sf_dir, "chunks"))
+
+
+def p3_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentence units of every chunk with their text."""
+    return sentences.sentences(table(spark, sf_dir, "chunks"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_cleaned, p3_found, p3_sentences)}
 SQL: dict[str, str] = {}
