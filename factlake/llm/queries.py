@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlake.common import table
-from factlake.llm import encoding, repeated_lines, sentences
+from factlake.llm import encoding, language, leakage, repeated_lines, sentences
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,5 +40,26 @@ def p3_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(table(spark, sf_dir, "chunks"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_cleaned, p3_found, p3_sentences)}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share at least twelve words in a row with an evaluation item."""
+    found = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "golden_items").select("item_id", "query", "expected"))
+    return found.select("doc_id", "item_id").distinct()
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each leak the part of the item, the longest shared run and the edit distance of the whole part."""
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "golden_items").select("item_id", "query", "expected"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of documents whose label is missing or wrong, or that mix languages."""
+    return language.mislabelled(language.segments(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_codes")))
+
+
+def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's languages with share and confidence."""
+    return language.languages(language.segments(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_codes")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_cleaned, p3_found, p3_sentences, p7_found, p7_report, p8_found, p8_languages)}
 SQL: dict[str, str] = {}
