@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlake.common import table
-from factlake.llm import encoding, language, leakage, repeated_lines, sentences
+from factlake.llm import encoding, language, leakage, main_content, repeated_lines, sentences
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,16 @@ def p3_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(table(spark, sf_dir, "chunks"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that are page furniture."""
+    return main_content.furniture(table(spark, sf_dir, "chunks"))
+
+
+def p4_main_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk with its main body only."""
+    return main_content.main_body(table(spark, sf_dir, "chunks"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that share at least twelve words in a row with an evaluation item."""
     found = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "golden_items").select("item_id", "query", "expected"))
@@ -61,5 +71,5 @@ def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(language.segments(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_codes")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_cleaned, p3_found, p3_sentences, p7_found, p7_report, p8_found, p8_languages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_cleaned, p3_found, p3_sentences, p4_found, p4_main_body, p7_found, p7_report, p8_found, p8_languages)}
 SQL: dict[str, str] = {}
