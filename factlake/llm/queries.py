@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlake.common import table
-from factlake.llm import encoding, language, leakage, main_content, repeated_lines, sentences
+from factlake.llm import encoding, language, leakage, main_content, packing, repeated_lines, sentences
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,16 @@ def p4_main_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_content.main_body(table(spark, sf_dir, "chunks"))
 
 
+def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its container, for each kind of container."""
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "capacities"))
+
+
+def p6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used and needed at least, by kind."""
+    return packing.quality(p6_pack(spark, sf_dir), table(spark, sf_dir, "capacities"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that share at least twelve words in a row with an evaluation item."""
     found = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "golden_items").select("item_id", "query", "expected"))
@@ -71,5 +81,5 @@ def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(language.segments(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_codes")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_cleaned, p3_found, p3_sentences, p4_found, p4_main_body, p7_found, p7_report, p8_found, p8_languages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_cleaned, p3_found, p3_sentences, p4_found, p4_main_body, p6_pack, p6_quality, p7_found, p7_report, p8_found, p8_languages)}
 SQL: dict[str, str] = {}
