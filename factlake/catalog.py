@@ -2,6 +2,22 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from factlake.common import table
+from factlake.operators import units
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts whose value is in another unit than the common one of its type."""
+    return units.found(table(spark, sf_dir, "extracted_facts"), table(spark, sf_dir, "structured_fact"), table(spark, sf_dir, "common_units"))
+
+
+def p5_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every quantity in the common unit, with the unit that the identities propose."""
+    return units.convert(table(spark, sf_dir, "extracted_facts"), table(spark, sf_dir, "structured_fact"), table(spark, sf_dir, "common_units"))
+
+
+QUERIES: dict = {f.__name__: f for f in (p5_found, p5_converted)}
 SQL: dict[str, str] = {}
 FLAGSHIP = "bm25_topk"
