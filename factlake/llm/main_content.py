@@ -243,6 +243,8 @@ def classify(df: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFr
                 out += label_lines(texts.iloc[i : i + 2000].tolist())
             yield pd.DataFrame(out, columns=["main", "furniture"])
 
+    # else the optimiser copies the function into a filter ahead of explode() and it runs twice
+    tell = tell.asNondeterministic()
     return rows.withColumn("l", tell("text")).select(key, "text", "l.main", "l.furniture")
 
 
