@@ -29,7 +29,7 @@ def visible_text(page: Column) -> Column:
     t = F.regexp_replace(page, r"(?s)<!--.*?-->", " ")
     for tag in STRIPPED:
         t = F.regexp_replace(t, rf"(?is)<{tag}\b.*?</{tag}\s*>", " ")
-    lines = F.transform(F.split(unescape_basic(F.regexp_replace(t, r"<[^>]*>", "\n")), "\n"), lambda x: F.trim(x))
+    lines = F.transform(F.split(unescape_basic(F.regexp_replace(t, r"<[^>]*>", "\n")), "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,8 +40,15 @@ def validity(v: Column, dim: int, tolerance: float = 0.01) -> Column:
 
 def hashed_embedding(words: Column, dim: int = 64) -> Column:
     """Deterministic stand-in for an embedding model: signed hashed word counts, unit length. Any model can take its place as a pandas UDF."""
-    counts = F.transform(words, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(dim)).alias("i"), F.when(F.pmod(F.hash(w), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
-    summed = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(counts, lambda c: c["i"] == i), F.lit(0.0), lambda a, c: a + c["s"]).cast("float")
-    )
-    return l2_normalize(summed)
+
+    @F.pandas_udf("array<float>")
+    def add(hashes: pd.Series) -> pd.Series:
+        out = []
+        for h in hashes:
+            h = np.asarray(h if h is not None else [], dtype=np.int64)
+            v = np.bincount(h % dim, np.where(h >> 32 & 1, -1.0, 1.0), dim)
+            n = np.sqrt((v * v).sum())
+            out.append((v / n if n else v).astype(np.float32))
+        return pd.Series(out)
+
+    return add(F.transform(words, lambda w: F.xxhash64(w)))
