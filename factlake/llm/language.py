@@ -195,7 +195,7 @@ def whole(sentence: str) -> bool:
 
 def segments_of(text: str | None, classes: dict[str, str], p: Profiles) -> list[tuple[int, int, str, float, bool]]:
     """(start_pos, end_pos, lang, confidence, whole sentence) of each unit whose language can be told."""
-    if not text:
+    if not text or not p.langs:
         return []
     spans, parts = cut(text, classes)
     known = [(span, part, s) for span, part in zip(spans, parts) if (s := p.score(words(part))) is not None]
@@ -218,6 +218,8 @@ def segments(docs: DataFrame, codes: DataFrame, profiles: Profiles | None = None
         keys = ("start_pos", "end_pos", "lang", "confidence", "whole")
         return pd.Series([[dict(zip(keys, x)) for x in segments_of(t, sentences._parse(c), p)] for t, c in zip(texts, classes)])
 
+    # else the optimiser copies the function into the filters behind it and it runs twice
+    tell = tell.asNondeterministic()
     rows = docs.select(F.col("doc_id"), "text", label_code(F.col("lang"), codes).alias("label"))
     known = sentences.abbreviations(rows.select(F.xxhash64("doc_id").alias("doc_id"), "text")).withColumnRenamed("doc_id", "k")
     joined = spread(rows.where("text is not null")).withColumn("k", F.xxhash64("doc_id").cast("string")).join(known, "k", "left")
