@@ -75,15 +75,15 @@ def excess_lines(df: DataFrame, lines: DataFrame | None = None, false_discoverie
     docs = site_docs.agg(F.sum("n1").alias("n"))
     t = per_site.join(site_docs, "site").withColumn("n", docs.scalar()).withColumn("ordinary", F.least(rate.scalar() / F.col("n"), F.lit(0.5)))
     t = t.withColumn("n0", F.greatest(F.col("n") - F.col("n1"), F.lit(1)).cast("double"))
-    t = t.withColumn("b", F.least(F.col("all") - F.col("a"), F.col("ordinary") * F.col("n0")).cast("double"))
-    p = (F.col("a") + F.col("b")) / (F.col("n1") + F.col("n0"))
+    # the outside rate of the line itself, smoothed, or that of an ordinary line where it is smaller
+    t = t.withColumn("rate", F.least((F.col("all") - F.col("a") + 0.5) / (F.col("n0") + 1), F.col("ordinary")))
+    a, n1, r = F.col("a").cast("double"), F.col("n1").cast("double"), F.col("rate")
 
-    def part(seen: Column, of: Column, share: Column) -> Column:
-        return F.when(seen > 0, seen * F.ln(seen / (of * share))).otherwise(0.0)
+    def part(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, seen * F.ln(seen / expected)).otherwise(0.0)
 
-    a, n1, b, n0 = F.col("a").cast("double"), F.col("n1").cast("double"), F.col("b"), F.col("n0")
-    g = 2 * (part(a, n1, p) + part(n1 - a, n1, 1 - p) + part(b, n0, p) + part(n0 - b, n0, 1 - p))
-    t = t.withColumn("g", F.when(a / n1 > b / n0, F.greatest(g, F.lit(0.0))).otherwise(0.0))
+    g = 2 * (part(a, n1 * r) + part(n1 - a, n1 * (1 - r)))
+    t = t.withColumn("g", F.when(a > n1 * r, F.greatest(g, F.lit(0.0))).otherwise(0.0))
     t = t.withColumn("bin", F.least(F.floor(F.col("g") * BINS_A_UNIT), F.lit(LAST_BIN)).cast("int"))
     # Benjamini-Hochberg on at most LAST_BIN + 1 rows: all of a bin counts with its largest chance.
     bins = t.groupBy("bin").agg(F.count("*").alias("c"))
