@@ -188,7 +188,8 @@ _ENDED = re.compile(r"[.!?…。！？।॥؟۔][\"”»›)\]）」』“’']
 
 def whole(sentence: str) -> bool:
     """Whether a unit is a sentence and no heading or scrap: it has words and ends as one, or is Thai, which has no end mark."""
-    if len(words(sentence)) < 2:
+    w = words(sentence)
+    if len(w) < 2 and sum(map(len, w)) < 2 * MIN_LETTERS:
         return False
     return bool(_ENDED.search(sentence)) or "฀" < max(sentence) and sum("ก" <= c <= "๎" for c in sentence) >= MIN_LETTERS
 
