@@ -132,7 +132,7 @@ def pack(docs: DataFrame, capacities: DataFrame, rounds: int = ROUNDS, folder: s
     docs has (doc_id, text). After a round, all bins of certified partitions and the full bins of the others are
     settled; the documents of their other bins change partitions and are packed again.
     """
-    pieces = _pieces(token_counts(docs, folder=folder), capacities)
+    pieces = _pieces(written(token_counts(docs, folder=folder)), capacities)  # tokenised once
     caps = {r[0]: r[1] for r in capacities.select("container_kind", "capacity_tokens").distinct().collect()}
     capacity = F.element_at(F.create_map(*[F.lit(x) for kv in sorted(caps.items()) for x in kv]), F.col("container_kind")) if caps else F.lit(None).cast("int")
     done, rest = None, pieces
