@@ -10,6 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factlake.functions import dictionaries as D
 
@@ -40,12 +41,12 @@ def unescape_basic(t: Column) -> Column:
     return t
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape(t: pd.Series) -> pd.Series:
     return t.map(html.unescape, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(t: pd.Series) -> pd.Series:
     return t.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 

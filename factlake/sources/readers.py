@@ -55,4 +55,4 @@ def vectors(spark: SparkSession, path: str) -> DataFrame:
 def phrases(spark: SparkSession, path: str) -> DataFrame:
     """(category, phrase) of a JSON file that maps categories to lists, in small letters."""
     m = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,array<string>>").alias("m"))
-    return m.select(F.explode("m").alias("category", "ps")).select("category", F.lower(F.explode("ps")).alias("phrase"))
+    return m.select(F.explode("m").alias("category", "ps")).select("category", F.explode("ps").alias("phrase")).select("category", F.lower("phrase").alias("phrase"))
