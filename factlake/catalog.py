@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factlake.catalog_sql import SQL
-from factlake.common import shared_folder, table
+from factlake.common import shared_folder, table, written
 from factlake.functions import text, vectors
 from factlake.operators import answer, audit, bm25, ingest, query, retrieve, units
 from factlake.plans import pipeline
@@ -335,15 +335,16 @@ def dense_topk(spark, sf_dir):
     return _long(_dense(spark, sf_dir).withColumn("similarity", F.round("similarity", 4)), "rank")
 
 
-def _bm25(spark, sf_dir, body):
+def _bm25(spark, sf_dir, body, indexed=None):
     q = table(spark, sf_dir, "golden_items").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col(body).alias("q"))
-    return bm25.top_k(bm25.scores(table(spark, sf_dir, "documents"), "doc_id", "text", q, "query_id", "q"), "query_id", "doc_id")
+    indexed = indexed or bm25.index(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return bm25.top_k(bm25.score(indexed, "doc_id", q, "query_id", "q"), "query_id", "doc_id")
 
 
 @_query
 def bm25_idf(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    w = bm25.idf(bm25.postings(d, "doc_id", "text"), bm25.statistics(d, "doc_id", "text").select("docs").scalar())
+    w = bm25.idf(written(bm25.postings(d, "doc_id", "text")), bm25.statistics(d, "doc_id", "text").select("docs").scalar())
     return w.select("term", "df", F.round("idf", 4).alias("idf"))
 
 
@@ -354,8 +355,9 @@ def bm25_topk(spark, sf_dir):
 
 def _fused(spark, sf_dir):
     top = F.max("score").over(Window.partitionBy("query_id"))
-    dense = _bm25(spark, sf_dir, "expected").withColumn("score", F.col("score") / top).select("query_id", F.col("doc_id").alias("id"), "rank", "score")
-    sparse = _bm25(spark, sf_dir, "query").select("query_id", F.col("doc_id").alias("id"), "rank", "score")
+    indexed = bm25.index(table(spark, sf_dir, "documents"), "doc_id", "text")
+    dense = _bm25(spark, sf_dir, "expected", indexed).withColumn("score", F.col("score") / top).select("query_id", F.col("doc_id").alias("id"), "rank", "score")
+    sparse = _bm25(spark, sf_dir, "query", indexed).select("query_id", F.col("doc_id").alias("id"), "rank", "score")
     return retrieve.fuse(dense, sparse)
 
 

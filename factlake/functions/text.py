@@ -133,15 +133,20 @@ def tidy_value(fact_type: Column, value: Column, second: Column) -> Column:
 
 def extract_facts(t: Column, patterns=D.FACT_PATTERNS) -> Column:
     """array<struct<fact_type, value, confidence, source, raw_snippet>>: the first match of each pattern."""
-    out = []
-    for name, pattern, confidence in patterns:
-        groups = re.compile(pattern).groups
-        first = F.trim(F.regexp_extract(t, pattern, 1))
-        second = F.trim(F.regexp_extract(t, pattern, 2)) if groups > 1 else F.lit("")
-        hit = t.rlike(pattern)
-        fact = F.struct(F.lit(name).alias("fact_type"), tidy_value(F.lit(name), first, second).alias("value"), F.lit(confidence).alias("confidence"), F.lit("regex").alias("source"), F.regexp_extract(t, pattern, 0).alias("raw_snippet"))
-        out.append(F.when(hit, fact))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+    # each pattern runs over the text once; the groups come from the short passage it caught
+    caught = F.array(*[F.struct(F.lit(n).alias("fact_type"), F.lit(c).alias("confidence"), F.regexp_extract(t, p, 0).alias("raw_snippet")) for n, p, c in patterns])
+    hits = F.filter(caught, lambda x: x["raw_snippet"] != "")
+
+    def fact(x: Column) -> Column:
+        first, second = F.lit(""), F.lit("")
+        for n, p, _ in patterns:
+            mine = x["fact_type"] == n
+            first = F.when(mine, F.trim(F.regexp_extract(x["raw_snippet"], p, 1))).otherwise(first)
+            if re.compile(p).groups > 1:
+                second = F.when(mine, F.trim(F.regexp_extract(x["raw_snippet"], p, 2))).otherwise(second)
+        return F.struct(x["fact_type"].alias("fact_type"), tidy_value(x["fact_type"], first, second).alias("value"), x["confidence"].alias("confidence"), F.lit("regex").alias("source"), x["raw_snippet"].alias("raw_snippet"))
+
+    return F.transform(hits, fact)
 
 
 # --- words, sentences, chunks ------------------------------------------------------------------
@@ -163,12 +168,11 @@ def tokens(t: Column) -> Column:
 def tokenize(t: Column, abbreviations=tuple(D.ABBREVIATIONS)) -> Column:
     """Sentences: cut after . ! ? and white space before a capital, but not behind an abbreviation (which becomes small)."""
     hidden = F.lit("\x00")
-    pieces = F.regexp_extract_all(t, F.lit(r"(?Us)(\w+\.|\w+|\W)"), F.lit(1))
-    listed = F.array(*map(F.lit, abbreviations))
+    listed = rf"(?<!\w)(?:{'|'.join(sorted(abbreviations, key=len, reverse=True))})\."
+    pieces = F.regexp_extract_all(t, F.lit(rf"(?isU){listed}|.+?(?={listed}|\z)"), F.lit(0))
 
     def keep(p: Column) -> Column:
-        word = F.lower(F.rtrim(p, F.lit(".")))
-        return F.when((F.length(p) > 1) & p.endswith(".") & F.array_contains(listed, word), F.concat(word, hidden)).otherwise(p)
+        return F.when(p.rlike(rf"(?iU)^{listed}$") & (F.length(p) <= 1 + max(map(len, abbreviations))), F.concat(F.lower(F.rtrim(p, F.lit("."))), hidden)).otherwise(p)
 
     cut = F.split(F.array_join(F.transform(pieces, keep), ""), r"(?<=[.!?])(?U:\s)+(?=[A-Z])")
     back = F.transform(cut, lambda s: F.regexp_replace(F.replace(s, hidden, F.lit(".")), r"^(?U:\s)+|(?U:\s)+$", ""))

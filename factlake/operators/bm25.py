@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factlake.common import written
 from factlake.functions import text
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -37,14 +38,23 @@ def query_terms(queries: DataFrame, key: str, body: str) -> DataFrame:
     return t.groupBy(key, "term").agg(F.count("*").alias("times"))
 
 
+def index(docs: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, term, tf, length, df, idf, avg_length): the postings with their weights, tokenised once and written, for any number of queries."""
+    posts = written(postings(docs, key, body))
+    stats = posts.groupBy(key).agg(F.first("length").alias("length")).agg(F.count("*").alias("docs"), F.avg("length").alias("avg_length"))
+    weights = idf(posts, stats.select("docs").scalar())
+    return posts.join(weights, "term").withColumn("avg_length", stats.select("avg_length").scalar())
+
+
 def scores(docs: DataFrame, doc_key: str, doc_body: str, queries: DataFrame, query_key: str, query_body: str) -> DataFrame:
     """(query_key, doc_key, score) of the documents that share a term with the query. The statistics always cover all documents."""
-    stats = statistics(docs, doc_key, doc_body)
-    posts = postings(docs, doc_key, doc_body)
-    weights = idf(posts, stats.select("docs").scalar())
+    return score(index(docs, doc_key, doc_body), doc_key, queries, query_key, query_body)
+
+
+def score(indexed: DataFrame, doc_key: str, queries: DataFrame, query_key: str, query_body: str) -> DataFrame:
     asked = query_terms(queries, query_key, query_body)
     # terms no query holds leave before the postings are joined
-    hit = posts.join(asked.select("term").distinct(), "term", "left_semi").join(weights, "term").withColumn("avg_length", stats.select("avg_length").scalar())
+    hit = indexed.join(asked.select("term").distinct(), "term", "left_semi")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
     weighed = hit.select("term", doc_key, part.alias("part")).join(asked, "term")
     return weighed.groupBy(query_key, doc_key).agg(F.sum(F.col("times") * F.col("part")).alias("score"))
