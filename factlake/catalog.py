@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factlake.catalog_sql import SQL
-from factlake.common import shared_folder, table, written
+from factlake.common import each, shared_folder, spread, table, written
 from factlake.functions import text, vectors
 from factlake.operators import answer, audit, bm25, ingest, query, retrieve, units
 from factlake.plans import pipeline
@@ -25,6 +25,11 @@ def _query(f):
     return f
 
 
+def _documents(spark, sf_dir) -> DataFrame:
+    """The documents over all cores; a table of few small files would keep CPU-bound expressions on one."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def _long(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("long") for c in cols})
 
@@ -196,7 +201,7 @@ def fund_aliases(spark, sf_dir):
 
 
 def _page(spark, sf_dir):
-    c = table(spark, sf_dir, "chunks").dropDuplicates(["chunk_id"])
+    c = spread(table(spark, sf_dir, "chunks").dropDuplicates(["chunk_id"]))
     body = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("\n"), F.lit("</p>\n<p>"))
     html = F.concat(F.lit("<html><head><title>Page</title><style>p {}</style></head><body><!-- top --><nav>Menu</nav><article><p>"), body, F.lit("</p></article><footer>Terms</footer></body></html>"))
     return c.select("chunk_id", "doc_id", "source_url", html.alias("html"))
@@ -220,12 +225,12 @@ def unescaped_normal_form(spark, sf_dir):
 
 @_query
 def white_space_collapsed(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.collapse(F.col("text")), 256).alias("digest"))
+    return _documents(spark, sf_dir).select("doc_id", F.sha2(text.collapse(F.col("text")), 256).alias("digest"))
 
 
 @_query
 def rupee_signs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.rupee_sign(F.col("text")), 256).alias("digest"))
+    return _documents(spark, sf_dir).select("doc_id", F.sha2(text.rupee_sign(F.col("text")), 256).alias("digest"))
 
 
 @_query
@@ -235,7 +240,7 @@ def plain_numbers(spark, sf_dir):
 
 @_query
 def iso_dates(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.iso_date(F.col("text")).alias("date"))
+    return _documents(spark, sf_dir).select("doc_id", text.iso_date(F.col("text")).alias("date"))
 
 
 @_query
@@ -245,7 +250,7 @@ def percentages(spark, sf_dir):
 
 @_query
 def extracted_from_text(spark, sf_dir):
-    f = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.extract_facts(F.col("text"))).alias("f"))
+    f = each(_documents(spark, sf_dir).select("doc_id", text.extract_facts(F.col("text")).alias("a")), "a", "f")
     return f.select("doc_id", "f.fact_type", "f.confidence", F.length("f.raw_snippet").cast("long").alias("length"))
 
 
@@ -269,34 +274,34 @@ def rejections(spark, sf_dir):
 
 @_query
 def word_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.word_count(F.col("text")).cast("long").alias("words"), F.size(text.tokens(F.col("text"))).cast("long").alias("tokens"))
+    return _documents(spark, sf_dir).select("doc_id", text.word_count(F.col("text")).cast("long").alias("words"), F.size(text.tokens(F.col("text"))).cast("long").alias("tokens"))
 
 
 @_query
 def sentence_tokens(spark, sf_dir):
-    s = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.tokenize(F.col("text"))).alias("n", "sentence"))
+    s = each(_documents(spark, sf_dir).select("doc_id", text.tokenize(F.col("text")).alias("a")), "a", "sentence", "n")
     return s.select("doc_id", "n", "sentence", text.is_noise(F.col("sentence")).alias("noise"), text.self_contained(F.col("sentence")).alias("self_contained"))
 
 
 @_query
 def chunk_types(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.chunk_type(F.col("text")).alias("chunk_type"), text.is_noise(F.col("text")).alias("noise"))
+    return _documents(spark, sf_dir).select("doc_id", text.chunk_type(F.col("text")).alias("chunk_type"), text.is_noise(F.col("text")).alias("noise"))
 
 
 @_query
 def long_texts_split(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.split_long(F.col("text"))).alias("piece", "t"))
+    d = _documents(spark, sf_dir).select("doc_id", F.posexplode(text.split_long(F.col("text"))).alias("piece", "t"))
     return d.select("doc_id", F.col("piece").cast("long").alias("piece"), F.sha2("t", 256).alias("digest"))
 
 
 @_query
 def semantic_chunks(spark, sf_dir):
-    return ingest.chunked(table(spark, sf_dir, "documents")).select("doc_id", "idx", "chunk_id", "chunk_type", "token_count", "overlap", "text")
+    return ingest.chunked(_documents(spark, sf_dir)).select("doc_id", "idx", "chunk_id", "chunk_type", "token_count", "overlap", "text")
 
 
 @_query
 def chunking_manifest(spark, sf_dir):
-    return ingest.chunk_manifest(table(spark, sf_dir, "documents"))
+    return ingest.chunk_manifest(_documents(spark, sf_dir))
 
 
 # --- vectors and retrieval ------------------------------------------------------------------------
@@ -337,13 +342,13 @@ def dense_topk(spark, sf_dir):
 
 def _bm25(spark, sf_dir, body, indexed=None):
     q = table(spark, sf_dir, "golden_items").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col(body).alias("q"))
-    indexed = indexed or bm25.index(table(spark, sf_dir, "documents"), "doc_id", "text")
+    indexed = indexed or bm25.index(_documents(spark, sf_dir), "doc_id", "text")
     return bm25.top_k(bm25.score(indexed, "doc_id", q, "query_id", "q"), "query_id", "doc_id")
 
 
 @_query
 def bm25_idf(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = _documents(spark, sf_dir)
     w = bm25.idf(written(bm25.postings(d, "doc_id", "text")), bm25.statistics(d, "doc_id", "text").select("docs").scalar())
     return w.select("term", "df", F.round("idf", 4).alias("idf"))
 
@@ -355,7 +360,7 @@ def bm25_topk(spark, sf_dir):
 
 def _fused(spark, sf_dir):
     top = F.max("score").over(Window.partitionBy("query_id"))
-    indexed = bm25.index(table(spark, sf_dir, "documents"), "doc_id", "text")
+    indexed = bm25.index(_documents(spark, sf_dir), "doc_id", "text")
     dense = _bm25(spark, sf_dir, "expected", indexed).withColumn("score", F.col("score") / top).select("query_id", F.col("doc_id").alias("id"), "rank", "score")
     sparse = _bm25(spark, sf_dir, "query", indexed).select("query_id", F.col("doc_id").alias("id"), "rank", "score")
     return retrieve.fuse(dense, sparse)
@@ -373,13 +378,13 @@ def relevance_filter(spark, sf_dir):
 
 @_query
 def single_source(spark, sf_dir):
-    c = retrieve.relevant(_fused(spark, sf_dir)).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source"), "id")
+    c = retrieve.relevant(_fused(spark, sf_dir)).join(_documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "source"), "id")
     return _long(retrieve.single_source(c, "source").select("query_id", "id", "source", "rank"), "rank")
 
 
 @_query
 def context_budget(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("source is not null").select("source", "doc_id", "text")
+    d = _documents(spark, sf_dir).where("source is not null").select("source", "doc_id", "text")
     first = d.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("rank <= 40").withColumnRenamed("source", "query_id")
     return answer.context(first, F.col("query_id"))
 
@@ -395,7 +400,7 @@ def fact_lookup_answers(spark, sf_dir):
 
 @_query
 def personal_data_scan(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").select("doc_id", query.personal_data(F.col("text")).alias("p"))
+    t = _documents(spark, sf_dir).select("doc_id", query.personal_data(F.col("text")).alias("p"))
     return t.select("doc_id", F.array_join("p", ",").alias("kinds"))
 
 
@@ -412,7 +417,7 @@ def question_intents(spark, sf_dir):
 
 @_query
 def document_intents(spark, sf_dir):
-    g = table(spark, sf_dir, "documents").select("doc_id", query.intent(F.col("text")).alias("i"))
+    g = _documents(spark, sf_dir).select("doc_id", query.intent(F.col("text")).alias("i"))
     return g.groupBy("i.classification").agg(F.count("*").alias("documents"), F.sum("i.advisory_hits").alias("advisory_hits"), F.sum("i.factual_hits").alias("factual_hits"))
 
 
@@ -429,12 +434,12 @@ def question_fact_types(spark, sf_dir):
 @_query
 def question_funds(spark, sf_dir):
     named = query.aliases(table(spark, sf_dir, "fetch_result").select("doc_id", F.col("url").alias("source_url")))
-    return query.find_funds(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")), named)
+    return query.find_funds(_documents(spark, sf_dir).select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")), named)
 
 
 @_query
 def banned_phrases(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(answer.banned(F.col("text")), ",").alias("phrases"))
+    return _documents(spark, sf_dir).select("doc_id", F.array_join(answer.banned(F.col("text")), ",").alias("phrases"))
 
 
 @_query

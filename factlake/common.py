@@ -7,6 +7,7 @@ import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,3 +43,14 @@ def spread(df: DataFrame, at_least: int | None = None) -> DataFrame:
     """Scans of few large files give few partitions; CPU-bound Python stages need at least one a core."""
     n = at_least or cores(df.sparkSession)
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
+def each(df: DataFrame, array: str, value: str, position: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """One row per element of a computed array, with the columns to keep.
+
+    A plain explode() makes the optimiser put a size filter with a copy of the array's expression below it, which evaluates
+    costly arrays twice; the outer form with a filter behind it does not.
+    """
+    cols = keep if keep is not None else [c for c in df.columns if c != array]
+    out = df.select(*cols, F.posexplode_outer(array).alias("_pos", value)).where("_pos is not null")
+    return out.withColumnRenamed("_pos", position) if position else out.drop("_pos")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import calendar
+import functools
 import html
 import re
 import unicodedata
@@ -185,11 +186,18 @@ def answer_sentences(t: Column) -> Column:
 
 
 def chunk_type(t: Column, groups=D.CHUNK_TYPES) -> Column:
-    low = F.lower(t)
-    out = F.lit(None).cast("string")
+    return _first_kind(F.lower(t), groups)
+
+
+def _holds(low: Column, phrases) -> Column:
+    return functools.reduce(lambda a, b: a | b, [low.contains(p) for p in phrases])
+
+
+def _first_kind(low: Column, groups) -> Column:
+    out = F.lit("overview")
     for name, phrases in reversed(groups):
-        out = F.when(low.rlike(quoted(phrases)), name).otherwise(out)
-    return F.coalesce(out, F.lit("overview"))
+        out = F.when(_holds(low, phrases), name).otherwise(out)
+    return out
 
 
 def is_noise(t: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factlake.common import written
+from factlake.common import each, written
 from factlake.functions import text
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -13,9 +13,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 def postings(docs: DataFrame, key: str, body: str) -> DataFrame:
     """(key, term, tf, length): one row per document and term, pre-aggregated before the shuffle."""
-    t = docs.select(F.col(key).alias(key), text.tokens(F.col(body)).alias("w")).where(F.size("w") > 0)
-    each = t.select(key, F.size("w").alias("length"), F.explode("w").alias("term"))
-    return each.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    t = docs.select(F.col(key).alias(key), text.tokens(F.col(body)).alias("w")).select(key, "w", F.size("w").alias("length"))
+    return each(t, "w", "term").groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
 def statistics(docs: DataFrame, key: str, body: str) -> DataFrame:

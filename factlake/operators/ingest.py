@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factlake.common import each
 from factlake.functions import text, vectors
 
 
@@ -45,8 +46,8 @@ def chunked(docs: DataFrame, key: str = "doc_id", body: str = "text", most: int
     kept = F.filter(s, lambda x: ~text.is_noise(x))
     typed = F.transform(kept, lambda x: F.struct(x.alias("s"), text.chunk_type(x).alias("t"), text.word_count(x).alias("n")))
     t = docs.where(F.col(body).isNotNull()).select(F.col(key).alias(key), typed.alias("s")).select(key, text.build_chunks(F.col("s"), most).alias("c"))
-    each = t.select(key, F.posexplode("c").alias("idx", "c")).select(key, "idx", "c.*")
-    return each.withColumn("chunk_id", F.sha2(F.concat_ws("|", F.col(key).cast("string"), F.col("idx").cast("string"), "text"), 256))
+    one = each(t, "c", "x", "idx").select(key, "idx", "x.*")
+    return one.withColumn("chunk_id", F.sha2(F.concat_ws("|", F.col(key).cast("string"), F.col("idx").cast("string"), "text"), 256))
 
 
 def chunk_manifest(docs: DataFrame, key: str = "doc_id", body: str = "text") -> DataFrame:

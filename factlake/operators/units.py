@@ -21,6 +21,8 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factlake.common import spread
+
 # Unit, dimension, factor to the dimension's base (rupees, percent), spellings.
 UNITS = (
     ("crore", "money", 1e7, ("crores", "crore", "cr", "करोड़")),
@@ -124,7 +126,7 @@ def _annotated(line: Column) -> Column:
 
 def stated(facts: DataFrame, common_units: DataFrame) -> DataFrame:
     """facts of the listed types with number, stated unit (or null), common unit and dimension."""
-    f = facts.select("fact_id", "doc_id", "fact_type", "value", "raw_snippet")
+    f = spread(facts).select("fact_id", "doc_id", "fact_type", "value", "raw_snippet")
     c = common_units.select("fact_type", F.lower("common_unit").alias("c")).dropDuplicates(["fact_type"])
     c = c.withColumn("money", F.col("c").contains("rupee")).withColumn("common", F.when(F.col("c").contains("crore"), "crore").when(F.col("money"), "rupees").otherwise("percent")).drop("c")
     t = f.join(F.broadcast(c), "fact_type")  # one row a fact type
