@@ -35,6 +35,7 @@ UNITS = (
     ("basis point", "rate", 0.01, ("basis points", "basis point", "basispunkte", "bps", "bp")),
     ("per mille", "rate", 0.1, ("per mille", "permille", "‰")),
     ("percent", "rate", 1.0, ("percent", "per cent", "pct", "%", "प्रतिशत")),
+    ("fraction", "rate", 100.0, ("share of 1", "fraction of assets", "fraction of 1")),
 )
 FACTOR = {name: factor for name, _, factor, _ in UNITS}
 # Encodings in which UTF-8 text of the snippets may have been misread.
@@ -108,8 +109,8 @@ def unit_of_value(value: Column, money: Column) -> Column:
 
 def unit_of_snippet(snippet: Column, money: Column) -> Column:
     """The unit that a snippet gives for its number: in brackets or behind a comma or dash of a label, or in a line on all figures."""
-    # one line of the snippet at a time: a bracket, a comma or dash, "in ..." or "Figures in ..."
-    marks = r"\([^()\n]*?(?<![\p{L}\p{M}])", r"(?:, (?:in )?|[–—-] |\S{1,9} )(?:rs\.? |₹ ?)?(?<![\p{L}\p{M}])", r"(?m)^[^\n,(]*[\p{L}] in (?:rs\.? |₹ ?)?"
+    # one line of the snippet at a time: a bracket, a comma or dash, "in ...", "as a ..." or "Figures in ..."
+    marks = r"\([^()\n]*?(?<![\p{L}\p{M}])", r"(?:, (?:in )?|[–—-] |\S{1,9} )(?:rs\.? |₹ ?)?(?<![\p{L}\p{M}])", r"(?m)^[^\n,(]*[\p{L}] (?:in|as an?) (?:rs\.? |₹ ?)?"
     scale = [F.lit(None).cast("string")]
     ends = r"[.]?\)", r"[.]?(?: of rupees)?(?=[ ]*(?:$|\n|:|starts at|[^\x00-\x7F ]{1,9} \d))", r"[.]?(?: of rupees)?(?=[ ]*(?:$|\n|:|starts at|[^\x00-\x7F]))"
     labelled = F.array_join(F.filter(F.split(snippet, "\n"), _annotated), "\n")
@@ -120,8 +121,8 @@ def unit_of_snippet(snippet: Column, money: Column) -> Column:
 
 
 def _annotated(line: Column) -> Column:
-    """Lines that may annotate: with a bracket, a comma, a dash before a currency, or ' in '."""
-    return line.rlike(r"(?iu)\(|, |(?:–|—|-|[^\x00-\x7F]{2,9}) (?:rs|inr|₹)| in ") & ~line.rlike(r"^[^\p{L}]*\d[^\n]*$")
+    """Lines that may annotate: with a bracket, a comma, a dash before a currency, ' in ' or ' as a '."""
+    return line.rlike(r"(?iu)\(|, |(?:–|—|-|[^\x00-\x7F]{2,9}) (?:rs|inr|₹)| in | as an? ") & ~line.rlike(r"^[^\p{L}]*\d[^\n]*$")
 
 
 def stated(facts: DataFrame, common_units: DataFrame) -> DataFrame:

@@ -303,6 +303,15 @@ def test_units(spark):
     assert units.found(f.where("false"), old, common).count() == 0
 
 
+def test_units_fraction(spark):
+    facts = [(1, "expense_ratio", "0.0215", "Expense ratio (share of 1)\n0.0215"), (2, "exit_load", "0.0100", "Menu\nExit load as a fraction of assets\n0.0100"), (3, "exit_load", "0.0000", "Exit load (share of 1)\n0.0000"), (4, "expense_ratio", "0.05", "TER, per cent\n0.05"), (5, "expense_ratio", "0.05", "TER\n0.05")]
+    f = spark.createDataFrame([(i, "d", t, v, s) for i, t, v, s in facts], "fact_id long, doc_id string, fact_type string, value string, raw_snippet string")
+    old = spark.createDataFrame([], "id long, doc_id string, fact_type string, value string")
+    common = spark.createDataFrame([("expense_ratio", "percent"), ("exit_load", "percent")], "fact_type string, common_unit string")
+    assert sorted(r[0] for r in units.found(f, old, common).collect()) == [1, 2]
+    assert {r["fact_id"]: round(r["converted"], 6) for r in units.convert(f, old, common).collect()} == {1: 2.15, 2: 1.0, 3: 0.0, 4: 0.05, 5: 0.05}
+
+
 def test_entry_lists():
     import __spark_entry__ as e
 
