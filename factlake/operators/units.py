@@ -3,7 +3,7 @@
 A value states its unit itself, or the snippet around it does, as an annotation of a label ("(₹ in Cr)",
 ", in thousands of rupees", "Figures in lakh"). Where neither does, the unit is open. All stated
 observations of one quantity (same document and fact type, from both fact tables) obey the identity that
-they are the same magnitude; the centre of their logarithms is the reference. For every row each unit
+they are the same magnitude; the median logarithm of the others, the row's own fact left out, is the reference. For every row each unit
 is tried and the log residuals compared: the combination with the least residual is proposed,
 and it is flagged as non-unique where the next one is not clearly worse or nothing was there to compare with.
 A stated unit always stands; where none is stated the common unit holds, and the proposal shows
@@ -18,10 +18,10 @@ from __future__ import annotations
 import re
 import unicodedata
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factlake.common import spread
+from factlake.common import spread, written
 
 # Unit, dimension, factor to the dimension's base (rupees, percent), spellings.
 UNITS = (
@@ -138,19 +138,36 @@ def _factor(unit: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in FACTOR.items() for x in kv]), unit)
 
 
+def _quantities(facts: DataFrame, common_units: DataFrame) -> DataFrame:
+    """The distinct facts with a number, and the unit each is in: the stated one, else the common one."""
+    t = stated(facts, common_units).where("number is not null").dropDuplicates(["fact_id", "doc_id", "fact_type", "value", "raw_snippet"])
+    return t.withColumn("unit", F.coalesce("stated", "common"))
+
+
+def _converted() -> Column:
+    return F.col("number") * _factor(F.col("unit")) / _factor(F.col("common"))
+
+
 def convert(facts: DataFrame, earlier: DataFrame, common_units: DataFrame) -> DataFrame:
     """One row per fact with a number: value in the common unit, the unit it was in, and what the identities say.
 
     Columns: fact_id, fact_type, unit, common_unit, converted, stated, proposed, residual, unique, agrees.
     """
-    t = stated(facts, common_units).where("number is not null").dropDuplicates(["fact_id", "doc_id", "fact_type", "value", "raw_snippet"])
-    t = t.withColumn("unit", F.coalesce("stated", "common"))
+    t = _quantities(facts, common_units)
     base = F.ln(F.col("number") * _factor(F.col("unit")))
-    seen = t.where("number > 0 and stated is not null").select("doc_id", "fact_type", base.alias("x"))
+    fact = ["doc_id", "fact_type", "fact_id"]
+    seen = t.where("number > 0 and stated is not null").groupBy(*fact).agg(F.avg(base).alias("x"))  # a fact is one observation
     old = stated(earlier.select(F.col("id").alias("fact_id"), "doc_id", "fact_type", "value", F.lit("").alias("raw_snippet")), common_units).where("number > 0")
-    old = old.select("doc_id", "fact_type", F.ln(F.col("number") * _factor(F.coalesce("stated", "common"))).alias("x"))
-    centre = seen.unionByName(old).groupBy("doc_id", "fact_type").agg(F.percentile_approx("x", 0.5, 1000).alias("centre"))
-    t = t.join(centre, ["doc_id", "fact_type"], "left")
+    old = old.select("doc_id", "fact_type", F.lit(None).cast("long").alias("fact_id"), F.ln(F.col("number") * _factor(F.coalesce("stated", "common"))).alias("x"))
+    quantity = Window.partitionBy("doc_id", "fact_type")
+    ranked = seen.unionByName(old).withColumn("r", F.row_number().over(quantity.orderBy("x", "fact_id"))).withColumn("n", F.count("*").over(quantity))
+    # lower medians: of all n, and of the n - 1 that are left without the r-th
+    ranked = written(ranked)
+    half = F.expr("n div 2")
+    at = lambda k: F.max(F.when(F.col("r") == k, F.col("x")))
+    middle = ranked.groupBy("doc_id", "fact_type").agg(at(F.expr("(n + 1) div 2")).alias("all"), at(half).alias("low"), at(half + 1).alias("high"))
+    t = t.join(ranked.where("fact_id is not null").select(*fact, "r", "n"), fact, "left").join(middle, ["doc_id", "fact_type"], "left")
+    t = t.withColumn("centre", F.when(F.col("r").isNull(), F.col("all")).when(F.col("n") > 1, F.when(F.col("r") > half, F.col("low")).otherwise(F.col("high"))))
     money = [n for n, d, _, _ in UNITS if d == "money"]
     rate = [n for n, d, _, _ in UNITS if d == "rate"]
     units = F.when(F.col("money"), F.array(*map(F.lit, money))).otherwise(F.array(*map(F.lit, rate)))
@@ -158,7 +175,7 @@ def convert(facts: DataFrame, earlier: DataFrame, common_units: DataFrame) -> Da
     t = t.withColumn("tried", F.when((F.col("number") > 0) & F.col("centre").isNotNull(), tried))
     best, following = F.get("tried", F.lit(0)), F.get("tried", F.lit(1))
     return t.select(
-        "fact_id", "fact_type", "unit", F.col("common").alias("common_unit"), (F.col("number") * _factor(F.col("unit")) / _factor(F.col("common"))).alias("converted"),
+        "fact_id", "fact_type", "unit", F.col("common").alias("common_unit"), _converted().alias("converted"),
         F.col("stated").isNotNull().alias("stated"), best["u"].alias("proposed"), best["r"].alias("residual"),
         F.coalesce(following["r"] - best["r"] >= CLEAR, F.lit(False)).alias("unique"), (best["u"] == F.col("unit")).alias("agrees"),
     )
@@ -166,5 +183,5 @@ def convert(facts: DataFrame, earlier: DataFrame, common_units: DataFrame) -> Da
 
 def found(facts: DataFrame, earlier: DataFrame, common_units: DataFrame) -> DataFrame:
     """fact_id of rows whose value is in another unit than the common one; zero loads are none."""
-    t = convert(facts, earlier, common_units)
-    return t.where((F.col("unit") != F.col("common_unit")) & ~((F.col("fact_type") == "exit_load") & (F.col("converted") == 0))).select("fact_id").distinct()
+    t = _quantities(facts, common_units)
+    return t.where((F.col("unit") != F.col("common")) & ~((F.col("fact_type") == "exit_load") & (_converted() == 0))).select("fact_id").distinct()

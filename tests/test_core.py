@@ -312,6 +312,23 @@ def test_units_fraction(spark):
     assert {r["fact_id"]: round(r["converted"], 6) for r in units.convert(f, old, common).collect()} == {1: 2.15, 2: 1.0, 3: 0.0, 4: 0.05, 5: 0.05}
 
 
+def test_units_leave_own_fact_out(spark):
+    facts = [(1, "a", "₹5 Cr"), (1, "a", "₹5 Cr"), (2, "b", "₹5 Cr"), (3, "b", "₹6 lakh"), (4, "c", "₹7 Cr"), (5, "d", "8"), (6, "e", "₹1 Cr"), (7, "e", "₹2 Cr"), (8, "e", "₹90 Cr"), (9, "e", "3")]
+    f = spark.createDataFrame([(i, d, "aum", v, "") for i, d, v in facts], "fact_id long, doc_id string, fact_type string, value string, raw_snippet string")
+    old = spark.createDataFrame([(1, "c", "aum", "₹7.5 Cr"), (2, "d", "aum", "₹8 Cr")], "id long, doc_id string, fact_type string, value string")
+    common = spark.createDataFrame([("aum", "rupees crore")], "fact_type string, common_unit string")
+    got = {r["fact_id"]: r for r in units.convert(f, old, common).collect()}
+    assert len(got) == 9
+    # nothing to compare with
+    assert got[1]["residual"] is None and got[1]["proposed"] is None and not got[1]["unique"] and got[1]["agrees"] is None
+    # two facts have only each other
+    assert got[2]["proposed"] != "crore" and got[2]["agrees"] is False and got[3]["residual"] > 0 and got[3]["agrees"] is False
+    assert got[4]["unique"] and got[4]["agrees"] and got[4]["residual"] == pytest.approx(math.log(7.5 / 7))
+    assert got[5]["unique"] and got[5]["proposed"] == "crore" and got[5]["residual"] == pytest.approx(0)
+    # lower medians of what is left: 2 of (2, 90), 1 of (1, 90), 1 of (1, 2); all three for the open one
+    assert [round(got[i]["residual"], 6) for i in (6, 7)] == [round(math.log(2), 6)] * 2 and got[9]["residual"] == pytest.approx(math.log(1.5))
+
+
 def test_entry_lists():
     import __spark_entry__ as e
 
