@@ -13,17 +13,22 @@ RRF = 60
 QUERY_BLOCK = 4096
 
 
-def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vec: str = "embedding", within: str | None = None) -> DataFrame:
     """(query_id, key, similarity, rank): exact cosine search of unit vectors.
 
+    within names a column of the vectors and an array of the queries: a query whose array is not empty searches only rows that it lists.
+
     The stated queries are taken in blocks of QUERY_BLOCK; each block is one matrix that goes over all rows, every batch
     keeps its k best a query (ties at the edge too), and a final rank decides. Equal similarities go by key.
     """
     out = None
-    block: list[tuple[int, list[float]]] = []
+    block: list[tuple] = []
+    kinds = [("string" if dict(df.dtypes)[key] == "string" else "long") for df in (queries, vectors)]
+    listed = F.col(within) if within else F.lit(None)
 
     def scan(block: list) -> DataFrame:
-        ids, q = np.array([i for i, _ in block]), np.array([v for _, v in block], dtype=np.float64)
+        ids, q = np.array([i for i, _, _ in block]), np.array([v for _, v, _ in block], dtype=np.float64)
+        only = [(i, list(w)) for i, (_, _, w) in enumerate(block) if w]
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -31,14 +36,16 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str =
                 if not len(pdf):
                     continue
                 s = np.round(q @ np.stack(pdf["v"].to_numpy()).astype(np.float64).T, 9)
+                for i, w in only:
+                    s[i, ~pdf["w"].isin(w).to_numpy()] = -np.inf
                 edge = np.partition(s, -k, axis=1)[:, -k][:, None] if s.shape[1] > k else np.full((len(q), 1), -np.inf)
-                r, c = np.nonzero(s >= edge)
+                r, c = np.nonzero((s >= edge) & (s > -np.inf))
                 yield pd.DataFrame({"query_id": ids[r], key: pdf[key].to_numpy()[c], "similarity": s[r, c]})
 
-        return vectors.where(F.col(vec).isNotNull()).select(F.col(key).cast("long").alias(key), F.col(vec).alias("v")).mapInPandas(run, f"query_id long, {key} long, similarity double")
+        return vectors.where(F.col(vec).isNotNull()).select(F.col(key).cast(kinds[1]).alias(key), F.col(vec).alias("v"), listed.cast("string").alias("w")).mapInPandas(run, f"query_id {kinds[0]}, {key} {kinds[1]}, similarity double")
 
-    for r in queries.select(F.col(key).alias("i"), F.col(vec).alias("v")).where("v is not null").toLocalIterator():
-        block.append((r["i"], r["v"]))
+    for r in queries.select(F.col(key).alias("i"), F.col(vec).alias("v"), listed.alias("w")).where("v is not null").toLocalIterator():
+        block.append((r["i"], r["v"], r["w"]))
         if len(block) == QUERY_BLOCK:
             out = scan(block) if out is None else out.unionByName(scan(block))
             block = []
@@ -85,7 +92,7 @@ def single_source(candidates: DataFrame, source: str) -> DataFrame:
 
 
 def structured_lookup(asked: DataFrame, facts: DataFrame) -> DataFrame:
-    """(query_id, doc_id, value, source_url, sentence): the fact of the first named fund that has it.
+    """(query_id, doc_id, fact_type, value, source_url, sentence): the fact of the first named fund that has it.
 
     asked has (query_id, doc_ids array in order, fact_type); facts has (id, doc_id, fact_type, value, source_url).
     """
@@ -95,4 +102,4 @@ def structured_lookup(asked: DataFrame, facts: DataFrame) -> DataFrame:
     first = hit.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("pos"))).where("n = 1")
     name = F.initcap(F.replace(F.element_at(F.split("source_url", "/"), -1), F.lit("-"), F.lit(" ")))
     sentence = F.concat(F.lit("The "), F.replace("fact_type", F.lit("_"), F.lit(" ")), F.lit(" for "), name, F.lit(" is "), F.col("value"), F.lit("."))
-    return first.select("query_id", "doc_id", "value", "source_url", sentence.alias("sentence"))
+    return first.select("query_id", "doc_id", "fact_type", "value", "source_url", sentence.alias("sentence"))

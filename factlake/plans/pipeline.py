@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factlake.common import written
 from factlake.operators import answer, bm25, ingest, query, retrieve
 
 
@@ -16,6 +17,29 @@ def ingestion(pages: DataFrame) -> dict[str, DataFrame]:
     return {"extracted": extracted, "facts": facts, "chunks": chunks, "embeddings": ingest.embedded(chunks)}
 
 
+def hybrid(questions: DataFrame, chunks: DataFrame, facts: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, rank, doc_id, source_url, text, similarity, retriever) by cosine, BM25 and fact lookup, fused and filtered.
+
+    A question that names funds takes chunks of these only. chunks has one row a chunk_id.
+    """
+    named = query.find_funds(questions, query.aliases(facts))
+    q = questions.join(named, "query_id", "left")
+    asked = ingest.embedded(q.select("query_id", F.col("query").alias("text"), F.col("doc_ids").alias("doc_id")))
+    vectors = ingest.embedded(chunks.select("chunk_id", "doc_id", "text"))
+    near = retrieve.dense_top_k(vectors, asked.withColumnRenamed("query_id", "chunk_id"), k, "chunk_id", within="doc_id")
+    dense = near.select("query_id", F.col("chunk_id").alias("id"), "rank", F.col("similarity").alias("score"))
+    scored = bm25.scores(chunks, "chunk_id", "text", questions, "query_id", "query").join(chunks.select("chunk_id", "doc_id"), "chunk_id").join(named, "query_id", "left")
+    scored = scored.where(F.col("doc_ids").isNull() | (F.size("doc_ids") == 0) | F.array_contains("doc_ids", F.col("doc_id"))).select("query_id", "chunk_id", "score")
+    sparse = bm25.top_k(scored, "query_id", "chunk_id", k).select("query_id", F.col("chunk_id").alias("id"), "rank", "score")
+    typed = q.where("doc_ids is not null").withColumn("fact_type", query.fact_type(F.col("query"))).where("fact_type is not null")
+    looked = retrieve.structured_lookup(typed.select("query_id", "doc_ids", "fact_type"), facts).withColumn("id", F.concat_ws("_", F.lit("structured"), "doc_id", "fact_type"))
+    fused = written(retrieve.relevant(retrieve.fuse(dense, sparse, looked)))  # read twice; few candidates a question
+    texts = chunks.select(F.col("chunk_id").alias("id"), "doc_id", "source_url", "text")
+    cols = ["query_id", "rank", "doc_id", "source_url", "text", "similarity", "retriever"]
+    facts_found = fused.where("retriever = 'structured'").join(looked.select("query_id", "doc_id", "source_url", F.col("sentence").alias("text")), "query_id")
+    return fused.where("retriever <> 'structured'").join(texts, "id").select(cols).unionByName(facts_found.select(cols))
+
+
 def answers(questions: DataFrame, chunks: DataFrame, facts: DataFrame, as_of: str, k: int = 10) -> DataFrame:
     """(query_id, intent, source_url, response, status) for every question.
 
@@ -26,15 +50,8 @@ def answers(questions: DataFrame, chunks: DataFrame, facts: DataFrame, as_of: st
     q = q.withColumn("personal", query.personal_data(F.col("query"))).withColumn("intent", query.intent(F.col("query"))["classification"])
     go = q.where((F.size("personal") == 0) & (F.col("intent") == "FACTUAL"))
     one = chunks.dropDuplicates(["chunk_id"])
-    sparse = bm25.top_k(bm25.scores(one, "chunk_id", "text", go, "query_id", "query"), "query_id", "chunk_id", k)
-    named = query.find_funds(go, query.aliases(facts))
-    asked = go.join(named, "query_id").withColumn("fact_type", query.fact_type(F.col("query"))).where("fact_type is not null")
-    looked = retrieve.structured_lookup(asked.select("query_id", "doc_ids", "fact_type"), facts)
-    none = sparse.select("query_id", F.col("chunk_id").alias("id"), "rank", "score").where("false")
-    fused = retrieve.relevant(retrieve.fuse(none, sparse.select("query_id", F.col("chunk_id").alias("id"), "rank", "score")))
-    texts = fused.join(one.select(F.col("chunk_id").alias("id"), "doc_id", "source_url", "text"), "id").select("query_id", "rank", "doc_id", "source_url", "text")
-    first = looked.select("query_id", F.lit(0).alias("rank"), "doc_id", "source_url", F.col("sentence").alias("text"))
-    kept = retrieve.single_source(first.unionByName(texts), "doc_id")
+    # candidates are few (k of each list a question) and read twice
+    kept = written(retrieve.single_source(hybrid(go, one, facts, k), "doc_id"))
     ctx = answer.context(kept, F.coalesce("doc_id", F.lit("this fund")))
     url = kept.groupBy("query_id").agg(F.min_by("source_url", "rank").alias("source_url"))
     got = q.join(ctx, "query_id", "left").join(url, "query_id", "left")

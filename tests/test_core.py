@@ -233,6 +233,23 @@ def test_pipeline(spark):
 # --- sources, sinks, audit, streams -----------------------------------------------------------------
 
 
+def test_hybrid(spark):
+    chunks = [("c1", "D1", "acme gold fund nav today"), ("c2", "D2", "what is the nav of acme gold fund"), ("c3", "D1", "risk"), ("c4", "D3", "bank stocks held"), ("c5", "D3", "unrelated")]
+    c = spark.createDataFrame([(i, d, f"https://a.example/{d}", t) for i, d, t in chunks], "chunk_id string, doc_id string, source_url string, text string")
+    facts = spark.createDataFrame([(1, "D1", "https://a.example/acme-gold-fund", "nav", "10.5"), (2, "D3", "https://a.example/zed-cap", "nav", "1")], "id long, doc_id string, source_url string, fact_type string, value string")
+    q = spark.createDataFrame([(1, "What is the NAV of Acme Gold Fund?"), (2, "bank stocks held")], "query_id long, query string")
+    got = pipeline.hybrid(q, c, facts).collect()
+    first = {r["query_id"]: r for r in got if r["rank"] == 1}
+    # a named fund keeps other funds' chunks out, even one with the question's own words; its fact is fused
+    assert {r["doc_id"] for r in got if r["query_id"] == 1} == {"D1"} and first[1]["retriever"] == "structured" and "10.5" in first[1]["text"]
+    # found by vector and by words
+    assert first[2]["text"] == "bank stocks held" and first[2]["retriever"] == "dense+bm25" and first[2]["similarity"] == pytest.approx(1)
+    # the filter comes before the k best, so the listed rows are not crowded out
+    v = spark.createDataFrame([("a", "D1", [1.0, 0.0]), ("b", "D2", [0.6, 0.8]), ("c", "D2", [0.0, 1.0])], "k string, d string, embedding array<float>")
+    qv = spark.createDataFrame([(1, ["D2"], [1.0, 0.0]), (2, None, [1.0, 0.0]), (3, ["D9"], [1.0, 0.0])], "k long, d array<string>, embedding array<float>")
+    assert sorted((r["query_id"], r["k"]) for r in retrieve.dense_top_k(v, qv, 1, "k", within="d").collect()) == [(1, "b"), (2, "a")]
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "list.md").write_text("# Sites\n- https://a.example/x\nhttps://b.example/y\n- no\n")
     assert [(r["pos"], r["doc_id"]) for r in readers.address_list(spark, str(tmp_path / "list.md")).collect()] == [(1, "DOC-001"), (2, "DOC-002")]
