@@ -13,7 +13,7 @@ profiles class them. Everything else covers all rows.
 
 Names (capitalised words behind the first of a Latin sentence), quotations inside a sentence and numbers do not count.
 
-Defined results: null, empty and wordless texts have no language; equal documents get equal results; labels are
+Defined results: null, empty and wordless texts have a null language; equal documents get equal results; labels are
 read without case, space and region, by code, other code or name.
 """
 
@@ -194,17 +194,32 @@ def whole(sentence: str) -> bool:
     return bool(_ENDED.search(sentence)) or "฀" < max(sentence) and sum("ก" <= c <= "๎" for c in sentence) >= MIN_LETTERS
 
 
-def segments_of(text: str | None, classes: dict[str, str], p: Profiles) -> list[tuple[int, int, str, float, bool]]:
-    """(start_pos, end_pos, lang, confidence, whole sentence) of each unit whose language can be told."""
-    if not text or not p.langs:
+def segments_of(text: str | None, classes: dict[str, str], p: Profiles) -> list[tuple[int, int, str | None, float | None, bool]]:
+    """(start_pos, end_pos, lang, confidence, whole sentence) of every unit.
+
+    Units too short to be told take no part in the mixture; they get the language that leads in the document with its proportion
+    as confidence if they hold a letter, and none if they hold no letter or the document has no unit that can be told.
+    """
+    if not text:
         return []
     spans, parts = cut(text, classes)
-    known = [(span, part, s) for span, part in zip(spans, parts) if (s := p.score(words(part))) is not None]
+    spans, parts = [list(x) for x in zip(*((s, t) for s, t in zip(spans, parts) if t.strip()))] or ([], [])
+    scored = [p.score(words(part)) if p.langs else None for part in parts]
+    known = [s for s in scored if s is not None]
     if not known:
-        return []
-    chosen, _, post = mixture(np.array([s for _, _, s in known]))
-    best = post.argmax(axis=1)
-    return [(a + 1, b, p.langs[chosen[k]], float(post[i, k]), whole(part)) for i, (((a, b), part, _), k) in enumerate(zip(known, best))]
+        return [(a + 1, b, None, None, False) for a, b in spans]
+    chosen, pi, post = mixture(np.array(known))
+    best, lead = post.argmax(axis=1), int(pi.argmax())
+    out, i = [], 0
+    for (a, b), part, s in zip(spans, parts, scored):
+        if s is not None:
+            out.append((a + 1, b, p.langs[chosen[best[i]]], float(post[i, best[i]]), whole(part)))
+            i += 1
+        elif any(c.isalpha() for c in part):
+            out.append((a + 1, b, p.langs[chosen[lead]], float(pi[lead]), False))
+        else:
+            out.append((a + 1, b, None, None, False))
+    return out
 
 
 SEGMENT = "array<struct<start_pos:int,end_pos:int,lang:string,confidence:double,whole:boolean>>"
@@ -223,15 +238,26 @@ def segments(docs: DataFrame, codes: DataFrame, profiles: Profiles | None = None
     tell = tell.asNondeterministic()
     rows = docs.select(F.col("doc_id"), "text", label_code(F.col("lang"), codes).alias("label"))
     known = sentences.abbreviations(rows.select(F.xxhash64("doc_id").alias("doc_id"), "text")).withColumnRenamed("doc_id", "k")
-    joined = spread(rows.where("text is not null")).withColumn("k", F.xxhash64("doc_id").cast("string")).join(known, "k", "left")
+    joined = spread(rows).withColumn("k", F.xxhash64("doc_id").cast("string")).join(known, "k", "left")
     return joined.select("doc_id", "label", tell("text", "classes").alias("segments"))
 
 
+def listed(found: DataFrame) -> DataFrame:
+    """(doc_id, start_pos, end_pos, lang, confidence): one row per unit; lang is null where a unit has no letters or nothing can be told."""
+    s = found.select("doc_id", F.explode("segments").alias("s"))
+    return s.select("doc_id", "s.start_pos", "s.end_pos", "s.lang", "s.confidence")
+
+
 def languages(found: DataFrame) -> DataFrame:
-    """(doc_id, label, lang, share, confidence, sentences): one row per document and language of at least one whole sentence."""
-    s = found.select("doc_id", "label", F.explode("segments").alias("s")).where("s.whole")
+    """(doc_id, label, lang, share, confidence, sentences): one row per document and language of at least one whole sentence.
+
+    A document without a whole sentence has the languages of its other units, with 0 sentences; one without any has one row with null.
+    """
+    told = F.filter("segments", lambda s: s["lang"].isNotNull())
+    full = F.filter(told, lambda s: s["whole"])
+    s = found.select("doc_id", "label", F.explode_outer(F.when(F.size(full) > 0, full).otherwise(told)).alias("s"))
     n = F.sum(F.col("s.end_pos") - F.col("s.start_pos") + 1)
-    each = s.groupBy("doc_id", "label", "s.lang").agg(n.alias("chars"), F.avg("s.confidence").alias("confidence"), F.count("*").alias("sentences"))
+    each = s.groupBy("doc_id", "label", "s.lang").agg(n.alias("chars"), F.avg("s.confidence").alias("confidence"), F.count_if(F.col("s.whole")).alias("sentences"))
     total = F.sum("chars").over(Window.partitionBy("doc_id"))
     return each.select("doc_id", "label", "lang", (F.col("chars") / total).alias("share"), "confidence", "sentences")
 

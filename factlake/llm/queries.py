@@ -81,7 +81,12 @@ def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(language.segments(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_codes")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_cleaned, p3_found, p3_sentences, p4_found, p4_main_body, p6_pack, p6_quality, p7_found, p7_report, p8_found, p8_languages)}
+def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every unit of every document with language and confidence."""
+    return language.listed(language.segments(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_codes")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_cleaned, p3_found, p3_sentences, p4_found, p4_main_body, p6_pack, p6_quality, p7_found, p7_report, p8_found, p8_languages, p8_segments)}
 _WINDOW = "concat_ws(' ', w, " + ", ".join(f"lead(w, {i}) over o" for i in range(1, 12)) + ")"
 # Only what plain SQL can state over the whole tables; the other queries are tested against brute force, round trips and held-out accuracy.
 SQL: dict[str, str] = {

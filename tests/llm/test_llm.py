@@ -346,6 +346,23 @@ def test_language(spark):
     assert language.mislabelled(language.segments(docs.where("false"), codes)).count() == 0
 
 
+def test_every_unit_and_document(spark):
+    codes = spark.createDataFrame([(k, k, k) for k in SAID], "lang_code string, lang_name string, alt_code string")
+    rows = [(i, "\n".join(SAID[k]), k) for i, k in enumerate(SAID)]
+    rows += [(50, SAID["en"][0] + "\nFees\n12 34", "en"), (51, "Costs of the fund this year\nOrders before noon on a working day", None), (52, None, "en"), (53, "", None), (54, "12 34", None), (55, "Fees", "en")]
+    found = language.segments(spark.createDataFrame(rows, "doc_id long, text string, lang string"), codes)
+    units = {}
+    for r in language.listed(found).orderBy("doc_id", "start_pos").collect():
+        units.setdefault(r["doc_id"], []).append((r["start_pos"], r["end_pos"], r["lang"], r["confidence"] is not None))
+    n = len(SAID["en"][0])
+    assert units[50] == [(1, n, "en", True), (n + 2, n + 5, "en", True), (n + 7, n + 11, None, False)]
+    assert [u[2] for u in units[51]] == ["en", "en"] and units[54] == [(1, 5, None, False)] and units[55] == [(1, 4, None, False)] and not {52, 53} & set(units)
+    got = {r["doc_id"]: r for r in language.languages(found).collect()}
+    assert set(got) == {r[0] for r in rows}
+    assert got[50]["sentences"] == 1 and got[50]["share"] == 1 and got[51]["lang"] == "en" and got[51]["sentences"] == 0
+    assert all(got[i]["lang"] is None and got[i]["sentences"] == 0 for i in (52, 53, 54, 55))
+
+
 def test_mixture():
     import numpy as np
 
