@@ -1,6 +1,6 @@
 """Problem 1: text that was decoded with the wrong character encoding.
 
-For every pair (UTF-8 read as X) the garbled form of each plausible character
+For every pair (UTF-8 read as X of READINGS) the garbled form of each plausible character
 is precomputed and put into one Aho-Corasick automaton. Only matched spans
 are rewritten, so correct text around them stays as it is. Text that was
 damaged twice is repaired by running the automaton until nothing matches.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Single-byte readings; those in one group can occur in one damaged span, and the group that explains most of a text goes first.
-READINGS = (("cp1252", "latin-1"), ("cp1251",), ("mac_roman",), ("cp437",), ("cp850",), ("cp1250",), ("koi8_r",))
+READINGS = (("cp1252", "latin-1"), ("cp1251",), ("mac_roman",), ("cp437",), ("cp850",), ("cp1250",), ("koi8_r",), ("cp1254",), ("cp866",), ("iso8859_2",), ("iso8859_15",))
 # Scripts that a text of this kind may hold: (first, last, must touch another garbled character).
 # A lone Han or kana character is no proof: an accented letter before two signs looks the same.
 SCRIPTS = (
@@ -33,6 +33,14 @@ SCRIPTS = (
     (0x20A0, 0x20BF, False), (0x2116, 0x2122, False), (0x2190, 0x21FF, False), (0x2212, 0x2265, False),
     (0x25A0, 0x2605, False), (0x3001, 0x303F, True), (0x3041, 0x30FF, True), (0x4E00, 0x9FFF, True), (0xFF01, 0xFF5E, True),
 )
+# Further ones that single-byte readings are undone for: Hebrew, other Indic, stars and dingbats, Hangul, variation selector, byte order mark, a lost character, emoji.
+MORE = (
+    (0x5D0, 0x5EA, True), (0xA01, 0xDFF, False), (0x2606, 0x27BF, False), (0xAC00, 0xD7A3, True), (0xFE0F, 0xFE0F, False),
+    (0xFEFF, 0xFEFF, False), (0xFFFD, 0xFFFD, False), (0x1F300, 0x1FAFF, False),
+)
+# Readings in which two garbled characters may be genuine, and signs that do not follow a letter in genuine text.
+RARE = ("koi8_r", "cp850", "cp1250", "cp1254", "cp866", "iso8859_2", "iso8859_15")
+NO_FOLLOWER = "©¨¬¦¤"
 MAX_ROUNDS = 8
 LOST = "�"
 
@@ -48,6 +56,12 @@ def _read(raw: bytes, codec: str) -> str | None:
     return "".join(out)
 
 
+def _impossible(g: str) -> bool:
+    """Whether two characters cannot stand together in genuine text: one of them draws boxes and the other not, or a sign that follows no letter does."""
+    boxes = ["─" <= c <= "▟" for c in g]
+    return boxes[0] != boxes[1] or g[0].isalpha() and g[1] in NO_FOLLOWER
+
+
 @lru_cache(maxsize=1)
 def automata() -> list:
     """One automaton a group: garbled form -> (length, original, strength). Strength 0: enough alone, 1: only beside another, 2: original lost."""
@@ -57,11 +71,11 @@ def automata() -> list:
     for group in READINGS:
         found: dict[str, tuple[str, int]] = {}
         for codec in group:
-            for first, last, touching in SCRIPTS:
+            for first, last, touching in SCRIPTS + MORE:
                 for cp in range(first, last + 1):
                     c = chr(cp)
                     g = _read(c.encode(), codec)
-                    rare = codec in ("koi8_r", "cp850", "cp1250") and len(g) == 2 or codec == "cp1251" and 0x401 <= cp <= 0x45F
+                    rare = codec in RARE and len(g) == 2 and not _impossible(g) or codec == "cp1251" and 0x401 <= cp <= 0x45F
                     if g not in found and g != c:
                         found[g] = (c, int(touching or rare))
             if codec in ("cp1252", "cp1251", "cp437"):  # quotes, dashes and currency signs whose last byte is gone

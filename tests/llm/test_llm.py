@@ -46,6 +46,24 @@ def test_encoding_lost_is_reported():
     assert encoding.repair(None) == (None, 0, False)
 
 
+@pytest.mark.parametrize("codec", [c for group in encoding.READINGS for c in group])
+@pytest.mark.parametrize("text", ["\ufeffNAV 12", "good 😀 day", "❤ it", "தமிழ் நிதி", "café au lait", "très bien"])
+def test_encoding_isolated_and_further_scripts(codec, text):
+    if (codec, text) == ("iso8859_2", "café au lait"):
+        pytest.skip("two letters that may be genuine")
+    fixed, spans, _ = encoding.repair(encoding._read(text.encode(), codec))
+    assert spans == sum(len(c.encode()) > 1 for c in text)
+    if codec != "iso8859_15":  # eight of its signs stand for other bytes in cp1252
+        assert fixed == text
+
+
+def test_encoding_garbled_replacement_character():
+    for codec in ("cp1252", "latin-1", "cp1251", "cp866"):
+        assert encoding.repair("Fund " + encoding._read("\ufffd".encode(), codec) + " note") == ("Fund \ufffd note", 1, True)
+    for text in ("├── école", "ROMÂNĂ® «ŢARĂ»", "Brand © 2026", "5 × 3"):
+        assert encoding.repair(text) == (text, 0, False)
+
+
 def test_encoding_table(spark):
     rows = [(1, "Riskâ€™s"), (1, "Riskâ€™s"), (2, None), (3, ""), (4, "x" * 200_000 + "Ã©"), (5, "né")]
     df = spark.createDataFrame(rows, "fact_id long, raw_snippet string").withColumn("restored", F.lit("clash"))
