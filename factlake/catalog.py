@@ -385,7 +385,7 @@ def single_source(spark, sf_dir):
 @_query
 def context_budget(spark, sf_dir):
     d = _documents(spark, sf_dir).where("source is not null").select("source", "doc_id", "text")
-    first = d.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("rank <= 40").withColumnRenamed("source", "query_id")
+    first = d.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).withColumnRenamed("source", "query_id")
     return answer.context(first, F.col("query_id"))
 
 

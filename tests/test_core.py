@@ -221,6 +221,14 @@ def test_answers(spark):
     assert [r["context"] for r in got] == ["Information for X:\none two three. four five."]
 
 
+def test_context_budget_takes_all_short_texts(spark, tmp_path):
+    from factlake import catalog
+
+    spark.createDataFrame([(i, "s", f"w{i}.") for i in range(100)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.context_budget(spark, str(tmp_path)).collect()
+    assert len(got) == 1 and "w0." in got[0]["context"] and got[0]["context"].endswith("w99.")
+
+
 def test_pipeline(spark):
     chunks = spark.createDataFrame([("c1", "D1", "https://a.example/acme-gold-fund", "The NAV of Acme Gold is ₹10.5 today. It rose."), ("c2", "D2", "https://a.example/zed-cap", "Zed holds bank stocks.")], "chunk_id string, doc_id string, source_url string, text string")
     facts = spark.createDataFrame([(1, "D1", "https://a.example/acme-gold-fund", "nav", "₹10.5", "HIGH", "x")], "id long, doc_id string, source_url string, fact_type string, value string, confidence string, indexed_at string")
