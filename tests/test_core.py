@@ -354,6 +354,21 @@ def test_units_leave_own_fact_out(spark):
     assert [round(got[i]["residual"], 6) for i in (6, 7)] == [round(math.log(2), 6)] * 2 and got[9]["residual"] == pytest.approx(math.log(1.5))
 
 
+def test_units_residuals_decide(spark):
+    """Where a reading is doubtful the quantity's other observations choose the unit; a clear one stands whatever they say."""
+    facts = [
+        (1, "a", "1250", "AUM (₹ in Cr)\nFigures in lakh\n1250"), (2, "b", "12.5", "AUM (₹ in Cr)\nFigures in lakh\n12.5"), (3, "c", "1250", "AUM (₹ in Cr)\nFigures in lakh\n1250"),
+        (4, "a", "1250 लक्ष", ""), (5, "c", "1250 लक्ष", ""), (6, "a", "1250", "AUM"), (7, "a", "1250 crore", ""), (8, "a", "1250 crore", None),
+    ]
+    f = spark.createDataFrame([(i, d, "aum", v, s) for i, d, v, s in facts], "fact_id long, doc_id string, fact_type string, value string, raw_snippet string")
+    old = spark.createDataFrame([(i, d, "aum", "₹12.5 Cr") for i, d in ((1, "a"), (2, "a"), (3, "a"), (4, "b"))], "id long, doc_id string, fact_type string, value string")
+    common = spark.createDataFrame([("aum", "rupees crore")], "fact_type string, common_unit string")
+    got = {r["fact_id"]: r for r in units.convert(f, old, common).collect()}
+    assert {i: r["unit"] for i, r in got.items()} == {1: "lakh", 2: "crore", 3: "crore", 4: "lakh", 5: "crore", 6: "crore", 7: "crore", 8: "crore"}
+    assert got[1]["converted"] == pytest.approx(12.5) and got[1]["unique"] and not got[3]["unique"] and got[7]["agrees"] is False
+    assert sorted(r[0] for r in units.found(f, old, common).collect()) == [1, 4]
+
+
 def test_entry_lists():
     import __spark_entry__ as e
 
