@@ -1,16 +1,21 @@
 """Problem 4: page furniture mixed with the main content of web pages.
 
-The text of a page still shows its tree: page, block (chunk), line, and the parts that
+The text of a page still shows its tree: page (its URL), block (chunk), line, and the parts that
 menu separators make of a line. Every line is a node with binary features: tokens that stand for
 attributes, density (length, words, sentence ends, digits), depth (separators, indents, list
-marks), position among its siblings and what the siblings beside it look like. Gradient-boosted
+marks), whether it names the page's subject (the last part of the URL), position among its siblings, what the
+siblings beside it look like, and the densities of its ancestor, the block. Gradient-boosted
 trees turn them into a log-odds of being main content. Decoding is hierarchical: a block
 is main content, furniture, or mixed, and its lines follow; a mixed block pays for every
 change between neighbours, so no line contradicts its block for a trifle.
 
+A page is not put together from its blocks: they carry no order, and one page may hold a third of all rows.
+
 The trees are trained here (train_main_content.py) and lie beside this module as JSON.
 
-Defined results: null and empty texts have no lines; blank lines are neither; repeated rows count once; other columns play no part.
+Defined results: null and empty texts have no lines; blank lines are neither; a row without URL takes that of its document's
+other rows, and has no subject without one; repeated
+rows count once; other columns play no part.
 """
 
 from __future__ import annotations
@@ -44,6 +49,7 @@ STRUCTURE = (
     "upper", "lower", "mark_first", "indent", "capital_share>=0.5", "capital_share>=0.8", "colon_inside", "latin", "other_script", "mixed_script",
 )
 SIBLINGS = ("first", "last", "before_ends", "before_short", "before_parts", "after_ends", "after_short", "after_parts", "few_lines", "many_lines")
+ANCESTORS = ("subject", "subject_alone", "no_subject_known", "block_ends>=0.5", "block_short>=0.5", "block_parts>=0.3", "block_digits>=0.5", "block_subject>=0.3")
 
 
 def tokens(line: str) -> list[str]:
@@ -116,7 +122,7 @@ class Trees:
                 if len(rows):
                     part, gg, hh = xf[rows], g[rows], h[rows]
                     g1, h1 = gg @ part, hh @ part
-                    g0, h0 = gg.sum() - g1, hh.sum() - h1
+                    g0, h0 = gg.sum() - g1, np.maximum(hh.sum() - h1, 0)
                     feature[k] = int((g1**2 / (h1 + l2) + g0**2 / (h0 + l2)).argmax())
                     node[rows] = 2 * k + 1 + x[rows, feature[k]]
             leaf = node - len(feature)
@@ -126,35 +132,57 @@ class Trees:
         return model
 
 
+def subject(url: str | None) -> str:
+    """What a page is about, by the last part of its URL: words in small letters, empty if there are fewer than two."""
+    path = (url or "").split("://", 1)[-1].split("?", 1)[0].split("#", 1)[0].rstrip("/")
+    name = _SLUG.sub(" ", path.rsplit("/", 1)[-1].lower() if "/" in path else "").strip()
+    return name if " " in name else ""
+
+
+_SLUG = re.compile(r"[-_+.%]+|\b(?:html?|php|aspx?)$")
+
+
 class Model:
     def __init__(self, vocabulary: list[str], trees: Trees):
         self.of = {t: i for i, t in enumerate(vocabulary)}
         self.vocabulary, self.trees = vocabulary, trees
-        self.width = len(vocabulary) + len(STRUCTURE) + len(SIBLINGS)
-        self._lines: dict[str, tuple[list[int], bool, bool, bool]] = {}
+        self.width = len(vocabulary) + len(STRUCTURE) + len(SIBLINGS) + len(ANCESTORS)
+        self._lines: dict[str, tuple] = {}
 
-    def line(self, line: str) -> tuple[list[int], bool, bool, bool]:
-        """(features of the line alone, ends like a sentence, is short, has parts)."""
+    def line(self, line: str) -> tuple[list[int], bool, bool, bool, bool, str]:
+        """(features of the line alone, ends like a sentence, is short, has parts, has digits, small letters with single blanks)."""
         got = self._lines.get(line)
         if got is None:
             v = len(self.vocabulary)
             s = structure(line)
             own = [self.of[t] for t in tokens(line) if t in self.of] + [v + i for i in s]
-            got = own, _ENDS in s, _CHARS40 not in s, _PARTS2 in s
+            got = own, _ENDS in s, _CHARS40 not in s, _PARTS2 in s, _DIGITS in s, " ".join(line.lower().split())
             if len(self._lines) < 20_000:
                 self._lines[line] = got
         return got
 
-    def rows(self, blocks: list[list[str]]) -> np.ndarray:
+    def rows(self, blocks: list[list[str]], subjects: list[str] | None = None) -> np.ndarray:
         """Feature matrix of all lines of all blocks."""
         at, r, c = 0, [], []
         s0 = len(self.vocabulary) + len(STRUCTURE)
-        for lines in blocks:
+        a0 = s0 + len(SIBLINGS)
+        for k, lines in enumerate(blocks):
             known = [self.line(x) for x in lines]
             n = len(lines)
+            about = subjects[k] if subjects else ""
             size = [s0 + 8] if n <= 4 else [s0 + 9] if n >= 12 else []
-            for i, (own, _, _, _) in enumerate(known):
-                f = own + size
+            named = [about in x[5] for x in known] if about else [False] * n
+            if not about:
+                size.append(a0 + 2)
+            size += [a0 + 3 + i for i, (f, share) in enumerate(((1, 0.5), (2, 0.5), (3, 0.3), (4, 0.5))) if sum(x[f] for x in known) >= share * n]
+            if sum(named) >= 0.3 * n > 0 and about:
+                size.append(a0 + 7)
+            for i, x in enumerate(known):
+                f = x[0] + size
+                if named[i]:
+                    f.append(a0)
+                    if len(x[5]) <= len(about) + 3:
+                        f.append(a0 + 1)
                 if i == 0:
                     f.append(s0)
                 else:
@@ -182,7 +210,7 @@ class Model:
         return cls(d["vocabulary"], Trees(d["base"], [(np.array(f), np.array(v)) for f, v in d["trees"]]))
 
 
-_ENDS, _CHARS40, _PARTS2 = STRUCTURE.index("ends"), STRUCTURE.index("chars>=40"), STRUCTURE.index("parts>=2")
+_ENDS, _CHARS40, _PARTS2, _DIGITS = (STRUCTURE.index(x) for x in ("ends", "chars>=40", "parts>=2", "digits"))
 
 
 def decode(odds: np.ndarray) -> np.ndarray:
@@ -214,7 +242,7 @@ def _model() -> Model:
     return Model.load()
 
 
-def label_lines(texts: list[str | None], model: Model | None = None) -> list[tuple[list[int], list[int]]]:
+def label_lines(texts: list[str | None], model: Model | None = None, urls: list[str | None] | None = None) -> list[tuple[list[int], list[int]]]:
     """For each text the numbers (from 1) of its lines of main content and of furniture."""
     m = model or _model()
     blocks, numbers = [], []
@@ -222,7 +250,7 @@ def label_lines(texts: list[str | None], model: Model | None = None) -> list[tup
         have = [(i, x) for i, x in enumerate((t or "").split("\n"), 1) if x.strip()]
         numbers.append([i for i, _ in have])
         blocks.append([x for _, x in have])
-    odds = m.trees.log_odds(m.rows(blocks)) if any(blocks) else np.empty(0)
+    odds = m.trees.log_odds(m.rows(blocks, [subject(u) for u in urls] if urls else None)) if any(blocks) else np.empty(0)
     out, at = [], 0
     for ns in numbers:
         keep = decode(odds[at : at + len(ns)]) if ns else np.empty(0, bool)
@@ -231,29 +259,38 @@ def label_lines(texts: list[str | None], model: Model | None = None) -> list[tup
     return out
 
 
-def classify(df: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """(key, text, main, furniture): line numbers of each kind; no shuffle but the spreading of few large files."""
-    rows = spread(df.select(F.col(key).alias(key), F.col(text).alias("text")).where("text is not null"))
+def classify(df: DataFrame, key: str = "chunk_id", text: str = "text", url: str | None = "source_url", doc: str | None = "doc_id") -> DataFrame:
+    """(key, text, main, furniture): line numbers of each kind.
+
+    No shuffle but the spreading of few large files; only rows without URL are joined with the URL of their document's other rows.
+    """
+    have = [c if c and c in df.columns else None for c in (url, doc)]
+    about, of = [F.col(c) if c else F.lit(None).cast("string") for c in have]
+    rows = spread(df.select(F.col(key).alias(key), F.col(text).alias("text"), about.alias("_url"), of.cast("string").alias("_doc")).where("text is not null"))
+    if all(have):
+        known = df.where(about.isNotNull()).groupBy(of.cast("string").alias("_doc")).agg(F.min(about).alias("_url"))
+        bare = rows.where("_url is null").drop("_url").join(known, "_doc", "left").select(*rows.columns)
+        rows = rows.where("_url is not null").unionByName(bare)
 
     @F.pandas_udf("main array<int>, furniture array<int>")
-    def tell(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
+    def tell(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, urls in batches:
             out = []
             for i in range(0, len(texts), 2000):
-                out += label_lines(texts.iloc[i : i + 2000].tolist())
+                out += label_lines(texts.iloc[i : i + 2000].tolist(), urls=urls.iloc[i : i + 2000].tolist())
             yield pd.DataFrame(out, columns=["main", "furniture"])
 
     # else the optimiser copies the function into a filter ahead of explode() and it runs twice
     tell = tell.asNondeterministic()
-    return rows.withColumn("l", tell("text")).select(key, "text", "l.main", "l.furniture")
+    return rows.withColumn("l", tell("text", "_url")).select(key, "text", "l.main", "l.furniture")
 
 
-def furniture(df: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
+def furniture(df: DataFrame, key: str = "chunk_id", text: str = "text", **columns: str | None) -> DataFrame:
     """(key, line_no) of the lines that are not main body."""
-    return classify(df, key, text).select(key, F.explode("furniture").alias("line_no")).distinct()
+    return classify(df, key, text, **columns).select(key, F.explode("furniture").alias("line_no")).distinct()
 
 
-def main_body(df: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
+def main_body(df: DataFrame, key: str = "chunk_id", text: str = "text", **columns: str | None) -> DataFrame:
     """(key, text): each text with its main lines only, in their order."""
     lines = F.split("text", "\n")
-    return classify(df, key, text).select(key, F.array_join(F.transform("main", lambda i: F.get(lines, i - 1)), "\n").alias("text")).distinct()
+    return classify(df, key, text, **columns).select(key, F.array_join(F.transform("main", lambda i: F.get(lines, i - 1)), "\n").alias("text")).distinct()

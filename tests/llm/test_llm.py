@@ -185,6 +185,39 @@ def test_main_content(spark):
     assert main_content.furniture(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "body"),
+    [
+        ("The city council met on Tuesday. It voted to close the old bridge for repairs next year.\nResidents said they had not been told.\nThe work will cost 3.2 million and take eight months.", [1, 2, 3]),
+        ("Tomato soup\nCut two onions and fry them in butter until soft.\nAdd 500 g of tomatoes and a litre of stock.\nSimmer for twenty minutes, then blend.\nServe with bread.", [1, 2, 3, 4, 5]),
+        ("Home | News | Sport | Weather | Travel | Video\nThe Eiffel Tower is a lattice tower in Paris. It was built from 1887 to 1889.\nIt is 330 metres tall and the most visited paid monument in the world.\nShare this page\n© 2024 All rights reserved", [2, 3]),
+        ("Dr. Mary Holt joined the clinic in Leeds in 2011 and now leads its heart unit.\nShe trained in Glasgow, where she also taught for six years.\nRead next: ten tips for a healthy heart\nShare this page with a friend", [1, 2]),
+    ],
+)
+def test_main_content_of_other_pages(page, body):
+    """Pages that are not about funds keep their body."""
+    assert main_content.label_lines([page], urls=["https://news.example/2024/06/some-other-story"])[0][0] == body
+
+
+def test_main_content_model_knows_no_brand():
+    """No word of the model is a brand of the pages it was trained on: each occurs on several sites."""
+    known = set(main_content.Model.load().vocabulary)
+    assert known and not known & {"gavrane", "keshtova", "niksella", "thovdor", "shunbria", "gathdor", "troldal", "krathdor"}
+
+
+def test_main_content_subject():
+    assert main_content.subject("https://a.example/schemes/Blue-Harbour-fund/?x=1") == "blue harbour fund"
+    assert [main_content.subject(u) for u in (None, "", "https://a.example", "https://a.example/fund", "x/tomato-soup.html")] == ["", "", "", "", "tomato soup"]
+
+
+def test_main_content_takes_url_of_document(spark):
+    """A row without URL is read with the URL of its document's other rows; without any it has no subject."""
+    row = "About Nordic Vale Pebble Fund"
+    df = chunks(spark, [("a", "d", "https://s.example/x/nordic-vale-pebble-fund", "Costs of Nordic Vale Pebble Fund fell by 2%."), ("b", "d", None, row), ("c", "e", None, row), ("d", None, None, row)])
+    got = {r[0]: r[1] for r in main_content.main_body(df).collect()}
+    assert set(got) == {"a", "b", "c", "d"} and got["b"] == row
+
+
 def test_decoding_has_no_contradiction():
     import numpy as np
 
