@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -70,24 +72,32 @@ _DIGIT, _CAPITAL = re.compile(r"\d"), re.compile(r"(?<!\S)[A-ZÀ-Þ]")
 _LATIN, _OTHER = re.compile("[A-Za-z]"), re.compile("[\u0370-\u1fff\u3040-\uffef]")
 _SEPARATORS = ("  ", " |", " ·", " /", " >", " •", "\xa0")
 _SIZES, _COUNTS = (12, 24, 40, 70, 110, 180, 300), (3, 6, 10, 16, 30)
+_STOPS = (". ", "? ", "! ", "।", "。")
 
 
 def structure(line: str) -> list[int]:
     """Which of STRUCTURE hold, as numbers."""
     s = line.strip()
     n, words = len(s), len(s.split())
-    parts = len(_SEPARATOR.findall(s)) + 1 if any(c in s for c in _SEPARATORS) else 1
+    parts = 1
+    for c in _SEPARATORS:
+        if c in s:
+            parts = len(_SEPARATOR.findall(s)) + 1
+            break
     digits = len(_DIGIT.findall(s))
     capital = len(_CAPITAL.findall(s)) / max(1, words)
     ends = _SENTENCE_END.search(s) is not None
-    stops = ends + s.count(". ") + s.count("? ") + s.count("! ") + s.count("।") + s.count("。")
-    latin, other = _LATIN.search(s) is not None, _OTHER.search(s) is not None
-    out = [i for i, k in enumerate(_SIZES) if n >= k] + [7 + i for i, k in enumerate(_COUNTS) if words >= k]
+    stops = ends + sum(map(s.count, _STOPS))
+    if s.isascii():
+        latin, other = _LATIN.search(s) is not None, False
+    else:
+        latin, other = _LATIN.search(s) is not None, _OTHER.search(s) is not None
+    out = [*range(bisect_right(_SIZES, n)), *range(7, 7 + bisect_right(_COUNTS, words))]
     hold = (
         parts >= 2, parts >= 3, parts >= 5, parts >= 3 and n / parts < 16, digits > 0, digits >= 0.1 * n, s[-1:] == "%", ends, stops >= 1, stops >= 2, stops >= 4,
         s.isupper(), s.islower(), not s[:1].isalnum(), line[:1].isspace(), capital >= 0.5, capital >= 0.8, ":" in s[:-1], latin, other, latin and other,
     )
-    out += [12 + i for i, h in enumerate(hold) if h]
+    out += [i for i, h in enumerate(hold, 12) if h]
     return out
 
 
@@ -155,7 +165,8 @@ class Model:
         if got is None:
             v = len(self.vocabulary)
             s = structure(line)
-            own = [self.of[t] for t in tokens(line) if t in self.of] + [v + i for i in s]
+            of = self.of
+            own = [of[t] for t in tokens(line) if t in of] + [v + i for i in s]
             got = own, _ENDS in s, _CHARS40 not in s, _PARTS2 in s, _DIGITS in s, " ".join(line.lower().split())
             if len(self._lines) < 20_000:
                 self._lines[line] = got
@@ -163,7 +174,7 @@ class Model:
 
     def rows(self, blocks: list[list[str]], subjects: list[str] | None = None) -> np.ndarray:
         """Feature matrix of all lines of all blocks."""
-        at, r, c = 0, [], []
+        at, sizes, c = 0, array("i"), array("i")
         s0 = len(self.vocabulary) + len(STRUCTURE)
         a0 = s0 + len(SIBLINGS)
         for k, lines in enumerate(blocks):
@@ -186,18 +197,28 @@ class Model:
                 if i == 0:
                     f.append(s0)
                 else:
-                    b = known[i - 1]
-                    f += [s0 + 2 + k for k in range(3) if b[1 + k]]
+                    _, ends, short, parts, _, _ = known[i - 1]
+                    if ends:
+                        f.append(s0 + 2)
+                    if short:
+                        f.append(s0 + 3)
+                    if parts:
+                        f.append(s0 + 4)
                 if i == n - 1:
                     f.append(s0 + 1)
                 else:
-                    b = known[i + 1]
-                    f += [s0 + 5 + k for k in range(3) if b[1 + k]]
-                r += [at + i] * len(f)
-                c += f
+                    _, ends, short, parts, _, _ = known[i + 1]
+                    if ends:
+                        f.append(s0 + 5)
+                    if short:
+                        f.append(s0 + 6)
+                    if parts:
+                        f.append(s0 + 7)
+                sizes.append(len(f))
+                c.extend(f)
             at += n
         x = np.zeros((at, self.width), np.uint8)
-        x[r, c] = 1
+        x.ravel()[np.repeat(np.arange(at) * self.width, sizes) + np.array(c)] = 1
         return x
 
     def save(self, path: Path = MODEL) -> None:
