@@ -201,7 +201,7 @@ def fund_aliases(spark, sf_dir):
 
 
 def _page(spark, sf_dir):
-    c = spread(table(spark, sf_dir, "chunks").dropDuplicates(["chunk_id"]))
+    c = spread(table(spark, sf_dir, "chunks")).dropDuplicates(["chunk_id"])
     body = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("\n"), F.lit("</p>\n<p>"))
     html = F.concat(F.lit("<html><head><title>Page</title><style>p {}</style></head><body><!-- top --><nav>Menu</nav><article><p>"), body, F.lit("</p></article><footer>Terms</footer></body></html>"))
     return c.select("chunk_id", "doc_id", "source_url", html.alias("html"))

@@ -15,8 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a local one only where that is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _local()
+    """The folder that spark.checkpoint.dir names. Where that is unset, a session on one machine, as in tests, has its own; on a cluster that is refused."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or _local()
 
 
 @lru_cache(maxsize=1)
@@ -40,9 +43,13 @@ def cores(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame, at_least: int | None = None) -> DataFrame:
-    """Scans of few large files give few partitions; CPU-bound Python stages need at least one a core."""
+    """Scans of few large files give few partitions; CPU-bound Python stages need at least one a core.
+
+    Only a plan without exchange is looked at and spread: to count the partitions behind one would run it.
+    """
     n = at_least or cores(df.sparkSession)
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return df.repartition(n) if "Exchange" not in plan and df.rdd.getNumPartitions() < n else df
 
 
 def each(df: DataFrame, array: str, value: str, position: str | None = None, keep: list[str] | None = None) -> DataFrame:
