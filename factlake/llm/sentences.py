@@ -5,11 +5,14 @@ token, how often it stands before a period that clearly goes on (a comma or a sm
 letter follows), before a period that clearly ends (a line ends), before other periods, and
 without one. Tokens that the counts show to be abbreviations are classed
 ``never`` or ``may`` end a sentence: by the document's own clear occurrences where it has any,
-else by the corpus. A second pass decides each terminator by that class, by what follows, by
-open quotations and brackets, and by the rules of the script.
+else by the corpus. Proper names are determined in the same way: a capitalised word that its line, or mostly the corpus, also writes
+small is none. A second pass decides each terminator by the class before it, by what follows, by
+open quotations and brackets, and by the rules of the script. A single letter ends a sentence only before a word that is no name
+("Plan B. The fund", not "A. Roe"); behind a ``may`` abbreviation a name leaves both readings open, and the unit ends there as it does
+before other capitals.
 
 Defined results: null, empty and blank texts have no units; a line without a sentence end
-inside is one unit; repeated rows give the units of one; other columns play no part.
+inside is one unit; repeated rows give the units of one; other columns play no part; tokens of over LONGEST characters are no abbreviations.
 """
 
 from __future__ import annotations
@@ -72,6 +75,14 @@ def _starts(line: str, k: int) -> int:
     return 2 if unicodedata.category(c) in ("Sc", "So") else -1
 
 
+def _common(line: str, j: int, classes: dict[str, str]) -> bool:
+    """Whether the capitalised word at j is no proper name: the line itself writes it small elsewhere, or the corpus does."""
+    w = _WORD.match(line, j)
+    if not w or len(w[0]) < 2 or not w[0][1:].islower():
+        return False
+    return classes.get(w[0]) == "s" or w[0].lower() in _WORD.findall(line)
+
+
 def ends(line: str, classes: dict[str, str]) -> list[int]:
     """Positions behind each sentence unit of a line, closing marks included, spaces not."""
     line_end = len(line.rstrip())
@@ -133,13 +144,13 @@ def ends(line: str, classes: dict[str, str]) -> list[int]:
             if k - e == 1 and line[e] in ")]）" and kind != 2:
                 continue
         i = s
-        while i > 0 and s - i < 16 and not line[i - 1].isspace() and line[i - 1] not in "\"“„«‹([（「/–—":
+        while i > 0 and not line[i - 1].isspace() and line[i - 1] not in "\"“„«‹([（「/–—":
             i -= 1
         token = line[i:s]
         klass = classes.get(_type(token))
         if klass == "n" and k == e:
             continue
-        if len(token) == 1 and token.isalpha() and k == e:
+        if len(token) == 1 and token.isalpha() and k == e and not (j > k and kind == 2 and _common(line, j, classes)):
             continue
         if kind == 1 and klass == "b" and k == e:
             continue
@@ -195,8 +206,25 @@ def units(text: str | None, classes: dict[str, str], cache: dict | None = None)
     return out
 
 
-_DOTTED = re.compile(r"(?<![^\s\"“„«(\[/–—])([^\W\d_](?:[^\W\d_]|[ऀ-෿]|\.(?=[^\W\d_])){0,9})\.(?![.!?])(?=([\"”»)\]]*)([^\S\n]*)([^\s]?.?))")
-_WORD = re.compile(r"[^\W\d_]{1,10}")
+_WORD = re.compile(r"[^\W\d_]+")
+# a period behind a letter or vowel sign, then closing marks, gap, and the two characters behind it
+_PERIOD = re.compile(r"(?<=[^\W\d_ऀ-෿]|[ऀ-෿])\.(?![.!?])(?=([\"”»)\]]*)([^\S\n]*)(\S?.?))")
+_TOKEN = re.compile(r"[^\W\d_](?:[^\W\d_]|[ऀ-෿]|\.(?=[^\W\d_]))*")
+_BEFORE = "\"“„«([/–—"
+LONGEST = 64  # characters of the longest token that counts as an abbreviation
+
+
+def _token(text: str, s: int) -> str:
+    """The token that ends before position s, behind the last space or opening mark."""
+    t = text[max(0, s - LONGEST - 1) : s]
+    parts = t.split()
+    if not parts or t[-1:].isspace():
+        return ""
+    t = parts[-1]
+    for c in _BEFORE:
+        if c in t:
+            t = t.rsplit(c, 1)[1]
+    return t if len(t) <= LONGEST else ""
 
 
 def _type(token: str) -> str:
@@ -205,18 +233,28 @@ def _type(token: str) -> str:
 
 
 def _count(batches: Iterator) -> Iterator:
-    """Per batch: (doc_id, token, went_on, ended, open, number, bare). Rows without doc_id carry the counts of words without period."""
+    """Per batch: (doc_id, token, went_on, ended, open, number, bare). Rows without doc_id carry the counts of words without period.
+
+    A row whose token begins with a blank tells that the capitalised word behind it follows a period in the document.
+    """
     for pdf in batches:
         rows: list[tuple] = []
         bare: Counter = Counter()
         dotted: Counter = Counter()
         for doc, texts in pdf.groupby("doc_id", dropna=False)["text"]:
             found: dict[str, list[int]] = {}
+            follows: set[str] = set()
             for text in texts:
                 if not text:
                     continue
                 bare.update(_WORD.findall(text))
-                for token, close, gap, after in _DOTTED.findall(text):
+                for m in _PERIOD.finditer(text):
+                    close, gap, after = m.groups()
+                    if not gap and not close and after[:1].isalpha():
+                        continue
+                    token = _token(text, m.start())
+                    if not _TOKEN.fullmatch(token):
+                        continue
                     x = found.setdefault(_type(token), [0, 0, 0, 0])
                     if not after:
                         x[1] += 1
@@ -225,7 +263,12 @@ def _count(batches: Iterator) -> Iterator:
                     else:
                         x[2] += 1
                         x[3] += after[0].isdigit()
+                        if len(token) == 1 and gap and after[0].isupper():
+                            w = _WORD.match(text, m.end(2))
+                            if w and w[0][1:].islower():
+                                follows.add(w[0])
             rows += [(doc, t, *x, 0) for t, x in found.items()]
+            rows += [(doc, f" {w}", 0, 0, 0, 0, 0) for w in follows]
             for t, x in found.items():
                 if "." not in t:
                     dotted[t] += sum(x[:3])
@@ -238,11 +281,13 @@ def _count(batches: Iterator) -> Iterator:
 
 
 def abbreviations(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, classes): for each document its abbreviations, as 'token=n' (never ends) or 'token=b' (may end), blank between."""
+    """(doc_id, classes): for each document its abbreviations, as 'token=n' (never ends) or 'token=b' (may end), and the words behind single letters
+    that are no proper names, as 'word=s', blank between."""
     rows = spread(df.select(F.col(doc).cast("string").alias("doc_id"), F.col(text).alias("text")))
     counts = rows.mapInPandas(_count, "doc_id string, token string, went_on long, ended long, open long, number long, bare long")
     sums = [F.sum(c).alias(c) for c in ("went_on", "ended", "open", "number", "bare")]
     counts = written(counts.groupBy("doc_id", "token").agg(*sums))
+    counts = counts.where("token <> ''")
     own = counts.where("doc_id is not null and went_on + ended + open > 0")
     # The corpus has one row a token; tokens that never stand before a period are no candidates.
     total = counts.groupBy("token").agg(*[F.sum(c).alias("all_" + c) for c in ("went_on", "ended", "open", "number", "bare")])
@@ -260,8 +305,17 @@ def abbreviations(df: DataFrame, doc: str = "doc_id", text: str = "text") -> Dat
         " when corpus is null and went_on >= 2 and ended = 0 and dotted >= 0.8 then 'n'"
         " else corpus end"
     )
-    named = both.withColumn("class", klass).where("class is not null").withColumn("c", F.concat_ws("=", "token", "class"))
-    return named.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("c")), " ").alias("classes"))
+    named = both.withColumn("class", klass).where("class is not null").select("doc_id", F.concat_ws("=", "token", "class").alias("c"))
+    # Words behind single letters: one that the corpus also writes small is no proper name.
+    follows = counts.where("doc_id is not null and token like ' %'").select("doc_id", F.ltrim("token").alias("word"))
+    seen = counts.where("doc_id is null").select(F.col("token").alias("small"), F.col("bare").alias("small_bare"))
+    common = follows.join(seen, F.lower("word") == F.col("small")).where((F.col("small_bare") >= LEAST_SMALL) & (F.col("small") != F.col("word")))
+    common = common.join(seen.select(F.col("small").alias("word"), F.col("small_bare").alias("capital_bare")), "word", "left")
+    common = common.where(F.col("small_bare") >= SMALL_SHARE * F.coalesce("capital_bare", F.lit(0)))
+    return named.unionByName(common.select("doc_id", F.concat("word", F.lit("=s")).alias("c"))).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("c")), " ").alias("classes"))
+
+
+LEAST_SMALL, SMALL_SHARE = 2, 0.5  # small occurrences in the corpus, and how many of them a capital one needs, to be no name
 
 
 @lru_cache(maxsize=4096)
@@ -269,25 +323,37 @@ def _parse(classes: str | None) -> dict[str, str]:
     return dict(x.rsplit("=", 1) for x in classes.split(" ")) if classes else {}
 
 
-def sentence_ends(df: DataFrame, key: str = "chunk_id", doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, end_pos): one row per sentence unit of every text."""
+def _ends_of(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows with the array ``e`` of the positions behind their units. rows has doc_id and text; known has the classes of each document."""
+
     @F.pandas_udf("array<int>")
     def cut(texts: pd.Series, classes: pd.Series) -> pd.Series:
         caches: dict = {}
         return pd.Series([units(t, _parse(c), caches.setdefault(c, {})) for t, c in zip(texts, classes)])
 
-    rows = df.select(F.col(key).alias(key), F.col(doc).cast("string").alias("doc_id"), F.col(text).alias("text"))
-    known = abbreviations(rows)
-    joined = rows.where("text is not null").join(known, "doc_id", "left")
-    return joined.select(key, F.explode(cut("text", "classes")).alias("end_pos")).distinct()
+    # else the optimiser may copy the function into a filter and it runs twice
+    cut = cut.asNondeterministic()
+    joined = spread(rows.where("text is not null")).join(known, "doc_id", "left")
+    return joined.withColumn("e", cut("text", "classes")).drop("classes")
+
+
+def _rows(df: DataFrame, key: str, doc: str, text: str) -> DataFrame:
+    return df.select(F.col(key).alias(key), F.col(doc).cast("string").alias("doc_id"), F.col(text).alias("text"))
+
+
+def sentence_ends(df: DataFrame, key: str = "chunk_id", doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, end_pos): one row per sentence unit of every text."""
+    rows = _rows(df, key, doc, text)
+    # written, so that its size is known: small enough it is broadcast, else the join shuffles
+    return _ends_of(rows, written(abbreviations(rows))).select(key, F.explode("e").alias("end_pos")).distinct()
 
 
 def sentences(df: DataFrame, key: str = "chunk_id", doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, unit, start_pos, end_pos, sentence): the units with their text; start_pos counts from 1."""
-    found = sentence_ends(df, key, doc, text).groupBy(key).agg(F.array_sort(F.collect_list("end_pos")).alias("e"))
-    rows = df.select(F.col(key).alias(key), F.col(text).alias("text")).dropDuplicates([key, "text"])
-    each = rows.join(found, key).select(key, "text", "e", F.posexplode("e").alias("unit", "end_pos"))
+    """(key, unit, start_pos, end_pos, sentence): the units of every distinct text of a key; start_pos counts from 1."""
+    rows = _rows(df, key, doc, text)
+    cut = _ends_of(spread(rows).dropDuplicates([key, "text"]), written(abbreviations(rows)))
+    each = cut.select(key, "text", "e", F.posexplode("e").alias("unit", "end_pos"))
     before = F.when(F.col("unit") > 0, F.get("e", F.col("unit") - 1)).otherwise(0)
     raw = F.substring(F.col("text"), before + 1, F.col("end_pos") - before)
-    lead = F.length(raw) - F.length(F.regexp_replace(raw, r"^[\s ]+", ""))
-    return each.select(key, (F.col("unit") + 1).alias("unit"), (before + lead + 1).alias("start_pos"), "end_pos", F.regexp_replace(raw, r"^[\s ]+", "").alias("sentence"))
+    lead = F.length(raw) - F.length(F.regexp_replace(raw, r"^[\s\u00a0]+", ""))
+    return each.select(key, (F.col("unit") + 1).alias("unit"), (before + lead + 1).alias("start_pos"), "end_pos", F.regexp_replace(raw, r"^[\s\u00a0]+", "").alias("sentence"))

@@ -152,6 +152,47 @@ def test_sentence_units(line, units):
     assert got == units
 
 
+@pytest.mark.parametrize(
+    ("line", "units"),
+    [
+        ("They chose Plan B. The fund grew by 2%.", ["They chose Plan B.", "The fund grew by 2%."]),
+        ("They got an A. Then it rose.", ["They got an A.", "Then it rose."]),
+        ("Plan B. Buyers came, and more buyers left.", ["Plan B.", "Buyers came, and more buyers left."]),
+        ("The note by A. K. Roe is out.", ["The note by A. K. Roe is out."]),
+        ("The desk of J. Then was full.", ["The desk of J.", "Then was full."]),
+        ("A. Thenmere left Plan C. Thenmere came back.", ["A. Thenmere left Plan C. Thenmere came back."]),
+    ],
+)
+def test_sentence_initials(line, units):
+    """A single letter ends a unit before a word that is no name: the corpus ("s") or the line itself writes it small."""
+    at, got = 0, []
+    for e in sentences.ends(line, {**CLASSES, "The": "s", "Then": "s"}):
+        got.append(line[at:e].strip())
+        at = e
+    assert got == units
+
+
+def test_sentence_names_from_corpus(spark):
+    """Which words behind single letters are no names is told by the counts of all texts; names stay with their initial."""
+    common = [(f"c{i}", f"d{i}", None, "In the end it fell, and then the rest fell.") for i in range(6)]
+    rows = [("k", "x", None, "They chose Plan B. The fund grew.\nWe met A. Roe there."), ("j", "y", None, "We met A. Roe again."), *common]
+    got = {}
+    for r in sentences.sentence_ends(chunks(spark, rows)).collect():
+        got.setdefault(r[0], set()).add(r[1])
+    assert got["k"] == {18, 33, 54} and got["j"] == {20}
+
+
+def test_long_abbreviations_count():
+    """Abbreviations of more than ten letters are counted and looked up whole."""
+    import pandas as pd
+
+    out = next(sentences._count(iter([pd.DataFrame({"doc_id": ["d"], "text": ["The Rechtsanwaltsges. and the Rechtsanwaltsges., too. Rechtsanwaltsgesellschaft is a word."]})])))
+    found = {r.token: (r.went_on, r.bare) for r in out.itertuples()}
+    assert found["Rechtsanwaltsges"] == (2, 0) and found["Rechtsanwaltsgesellschaft"] == (0, 1)
+    line = "Die Rechtsanwaltsges. Meier kam."
+    assert sentences.ends(line, {"Rechtsanwaltsges": "n"}) == [len(line)]
+
+
 def test_sentences_table(spark):
     base = [(f"k{i}", f"d{i % 3}", None, f"Dr. Name{chr(97 + i)} met us, e.g. today. Net worth grew, says Acme Ltd. today.\nShort Acme Ltd.\nDr. Other{chr(97 + i)} left.") for i in range(20)]
     odd = [("e", "d0", None, ""), ("n", "d0", None, None), ("w", None, None, " \n \n"), ("l", "d1", None, "word. " * 50_000 + "End."), base[0]]
