@@ -207,16 +207,18 @@ def units(text: str | None, classes: dict[str, str], cache: dict | None = None)
 
 
 _WORD = re.compile(r"[^\W\d_]+")
-# a period behind a letter or vowel sign, then closing marks, gap, and the two characters behind it
-_PERIOD = re.compile(r"(?<=[^\W\d_ऀ-෿]|[ऀ-෿])\.(?![.!?])(?=([\"”»)\]]*)([^\S\n]*)(\S?.?))")
+_PERIOD = re.compile(r"\.(?![.!?])")
 _TOKEN = re.compile(r"[^\W\d_](?:[^\W\d_]|[ऀ-෿]|\.(?=[^\W\d_]))*")
 _BEFORE = "\"“„«([/–—"
 LONGEST = 64  # characters of the longest token that counts as an abbreviation
 
 
 def _token(text: str, s: int) -> str:
-    """The token that ends before position s, behind the last space or opening mark."""
-    t = text[max(0, s - LONGEST - 1) : s]
+    """The token of letters, vowel signs and inner periods that ends before position s, behind the last space or opening mark; empty if there is none."""
+    at = text.rfind(" ", max(0, s - LONGEST - 1), s)
+    t = text[at + 1 if at >= 0 else max(0, s - LONGEST - 1) : s]
+    if t.isalpha():
+        return t if len(t) <= LONGEST else ""
     parts = t.split()
     if not parts or t[-1:].isspace():
         return ""
@@ -224,7 +226,18 @@ def _token(text: str, s: int) -> str:
     for c in _BEFORE:
         if c in t:
             t = t.rsplit(c, 1)[1]
-    return t if len(t) <= LONGEST else ""
+    return t if len(t) <= LONGEST and _TOKEN.fullmatch(t) else ""
+
+
+def _behind(text: str, e: int) -> tuple[bool, bool, int]:
+    """(closing marks follow, a gap follows, position behind both) of what stands at e."""
+    n, k = len(text), e
+    while k < n and text[k] in "\"”»)]":
+        k += 1
+    g = k
+    while g < n and text[g] != "\n" and text[g].isspace():
+        g += 1
+    return k > e, g > k, g
 
 
 def _type(token: str) -> str:
@@ -239,7 +252,7 @@ def _count(batches: Iterator) -> Iterator:
     """
     for pdf in batches:
         rows: list[tuple] = []
-        bare: Counter = Counter()
+        raw: Counter = Counter()
         dotted: Counter = Counter()
         for doc, texts in pdf.groupby("doc_id", dropna=False)["text"]:
             found: dict[str, list[int]] = {}
@@ -247,14 +260,14 @@ def _count(batches: Iterator) -> Iterator:
             for text in texts:
                 if not text:
                     continue
-                bare.update(_WORD.findall(text))
+                raw.update(text.split())
                 for m in _PERIOD.finditer(text):
-                    close, gap, after = m.groups()
-                    if not gap and not close and after[:1].isalpha():
-                        continue
-                    token = _token(text, m.start())
-                    if not _TOKEN.fullmatch(token):
+                    at = m.start()
+                    last, following = text[at - 1 : at], text[at + 1 : at + 2]
+                    if following.isalpha() or not (last.isalpha() or "ऀ" <= last <= "෿") or not (token := _token(text, at)):
                         continue
+                    close, gap, behind = _behind(text, at + 1)
+                    after = "" if text[behind : behind + 1].isspace() else text[behind : behind + 2]
                     x = found.setdefault(_type(token), [0, 0, 0, 0])
                     if not after:
                         x[1] += 1
@@ -264,7 +277,7 @@ def _count(batches: Iterator) -> Iterator:
                         x[2] += 1
                         x[3] += after[0].isdigit()
                         if len(token) == 1 and gap and after[0].isupper():
-                            w = _WORD.match(text, m.end(2))
+                            w = _WORD.match(text, behind)
                             if w and w[0][1:].islower():
                                 follows.add(w[0])
             rows += [(doc, t, *x, 0) for t, x in found.items()]
@@ -273,8 +286,9 @@ def _count(batches: Iterator) -> Iterator:
                 if "." not in t:
                     dotted[t] += sum(x[:3])
         words: Counter = Counter()
-        for t, n in bare.items():
-            words[_type(t)] += n
+        for piece, n in raw.items():
+            for t in _WORD.findall(piece):
+                words[_type(t)] += n
         words.subtract(dotted)
         rows += [(None, t, 0, 0, 0, 0, n) for t, n in words.items() if n > 0]
         yield pd.DataFrame(rows, columns=["doc_id", "token", "went_on", "ended", "open", "number", "bare"])
