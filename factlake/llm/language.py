@@ -2,13 +2,13 @@
 
 Multilingual mixture inference. Sentences are scored by the likelihood of their character
 n-grams in every language. Expectation-maximisation estimates the proportions of the languages in
-a document; languages are added to its set one by one as long as the likelihood, less a
-penalty a language, grows. Each sentence gets the likeliest language of the set, with its
+a document, until the likelihood grows no more; languages are added to its set one by one, the most gainful first, as long as the likelihood,
+less a penalty a language, grows. Each sentence gets the likeliest language of the set, with its
 posterior as confidence.
 
 The n-gram profiles are fitted on a bounded sample of labelled rows: at most SAMPLE
-documents a language, each of at most SAMPLE_CHARS characters, in the order of a hash of
-their id. Labels may be wrong, so the profiles are fitted again on the sentences as the first
+documents a language, those of up to SAMPLE_CHARS characters first, of longer ones a window of that size at a place given by a hash, in the order of a
+hash of their id. Labels may be wrong, so the profiles are fitted again on the sentences as the first
 profiles class them. Everything else covers all rows.
 
 Names (capitalised words behind the first of a Latin sentence), quotations inside a sentence and numbers do not count.
@@ -28,26 +28,29 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factlake.common import spread
+from factlake.common import spread, written
 from factlake.llm import sentences
 
-SAMPLE, SAMPLE_CHARS, REFITS, NGRAMS = 120, 4000, 2, 6000
+SAMPLE, SAMPLE_CHARS, REFITS = 120, 4000, 2
 PENALTY = 12.0  # nats that one more language must gain
 MIN_LETTERS = 6
 
 _WORD = re.compile(r"[A-Za-zÀ-ɏ]+|(?:[^\W\d_A-Za-zÀ-ɏ]|[ऀ-৿ัิ-ฺ็-๎ً-ْ])+")
 _QUOTED = re.compile(r"\"[^\"]*\"|“[^”“]*”|„[^“”]*[“”]|«[^»]*»|「[^」]*」")
-_LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
+_QUOTE = re.compile("[\"“„«「]")
 
 
 def words(sentence: str) -> list[str]:
     """The words that tell a sentence's language."""
-    bare = _QUOTED.sub(" ", sentence)
-    tokens = _WORD.findall(bare)
+    tokens = _WORD.findall(_QUOTED.sub(" ", sentence) if _QUOTE.search(sentence) else sentence)
     if sum(map(len, tokens)) < MIN_LETTERS:
         tokens = _WORD.findall(sentence)
-    if all(t.isupper() for t in tokens if _LATIN.match(t)) and len(tokens) > 2:
-        return [t.lower() for t in tokens]
+    if len(tokens) > 2:
+        for t in tokens:
+            if t[0] <= "ɏ" and not t.isupper():
+                break
+        else:
+            return [t.lower() for t in tokens]
     first = [tokens[0].lower()] if tokens and tokens[0][0].isupper() and not tokens[0].isupper() else []
     return first + [t for t in tokens if not t[0].isupper() and not (len(t) > 1 and t[1].isupper())]
 
@@ -58,42 +61,55 @@ def grams(word: str) -> list[str]:
 
 
 class Profiles:
-    """Log-probabilities of n-grams in each language; at most NGRAMS of the most frequent a language."""
+    """Log-probabilities of n-grams in each language. The vectors of words seen are kept in one matrix, of at most WORDS words at a time."""
+
+    WORDS = 100_000
 
     def __init__(self, counts: dict[str, Counter]):
         self.langs = sorted(counts)
-        kept = {k: dict(c.most_common(NGRAMS)) for k, c in counts.items()}
-        every = sorted(set().union(*kept.values())) if kept else []
+        every = sorted(set().union(*counts.values())) if counts else []
         self.of = {g: i for i, g in enumerate(every)}
         self.p = np.empty((len(every) + 1, len(self.langs)))
         for j, k in enumerate(self.langs):
             total = sum(counts[k].values()) + 0.1 * (len(every) + 1)
             self.p[:, j] = math.log(0.1 / total)
-            for g, n in kept[k].items():
+            for g, n in counts[k].items():
                 self.p[self.of[g], j] = math.log((n + 0.1) / total)
-        self._words: dict[str, np.ndarray] = {}
-
-    def word(self, w: str) -> np.ndarray:
-        v = self._words.get(w)
-        if v is None:
+        self._row: dict[str, int] = {}
+        self._words = np.empty((1024, len(self.langs)))
+
+    def _index(self, bags: list[list[str]]) -> np.ndarray:
+        """Rows of the word matrix of all words of the bags."""
+        if len(self._row) > self.WORDS:
+            self._row.clear()
+        row = self._row
+        new = [w for w in {w for bag in bags for w in bag} if w not in row]
+        if new:
+            at = len(row)
+            if at + len(new) > len(self._words):
+                more = np.empty((2 * (at + len(new)), len(self.langs)))
+                more[:at] = self._words[:at]
+                self._words = more
             other = len(self.of)
-            v = self.p[[self.of.get(g, other) for g in grams(w)]].sum(axis=0)
-            if len(self._words) < 200_000:
-                self._words[w] = v
-        return v
+            for i, w in enumerate(new, at):
+                self._words[i] = self.p[[self.of.get(g, other) for g in grams(w)]].sum(axis=0)
+                row[w] = i
+        return np.array([row[w] for bag in bags for w in bag], np.int64)
 
-    def score(self, found: list[str]) -> np.ndarray | None:
-        if sum(map(len, found)) < MIN_LETTERS:
-            return None
-        s = self.word(found[0]).copy()
-        for w in found[1:]:
-            s += self.word(w)
-        return s
+    def scores(self, bags: list[list[str]]) -> np.ndarray:
+        """Log-likelihoods of bags of words, none of them empty, in every language."""
+        rows = self._index(bags)
+        starts = np.cumsum([0, *map(len, bags[:-1])])
+        return np.add.reduceat(self._words[rows], starts, axis=0) if len(bags) else np.empty((0, len(self.langs)))
+
+
+def enough(bag: list[str]) -> bool:
+    return sum(map(len, bag)) >= MIN_LETTERS
 
 
 def fit(labelled: list[tuple[str, str]]) -> Profiles:
     """Profiles from (label, sentence) pairs, fitted again REFITS times without trust in single labels."""
-    bags = [(k, w) for k, s in labelled if sum(map(len, w := words(s))) >= MIN_LETTERS]
+    bags = [(k, w) for k, s in labelled if enough(w := words(s))]
 
     def count(pairs) -> dict[str, Counter]:
         out: dict[str, Counter] = defaultdict(Counter)
@@ -104,7 +120,8 @@ def fit(labelled: list[tuple[str, str]]) -> Profiles:
 
     p = Profiles(count(bags))
     for _ in range(REFITS if len(p.langs) > 1 else 0):
-        again = count((p.langs[int(p.score(bag).argmax())], bag) for _, bag in bags)
+        best = p.scores([bag for _, bag in bags]).argmax(axis=1)
+        again = count((p.langs[int(k)], bag) for k, (_, bag) in zip(best, bags))
         p = Profiles({k: again.get(k) or Counter() for k in p.langs})
     return p
 
@@ -118,19 +135,15 @@ def mixture(scores: np.ndarray, penalty: float = PENALTY) -> tuple[list[int], np
             return float(x.sum()), np.ones(1), np.ones((len(x), 1))
         top = x.max(axis=1, keepdims=True)
         e = np.exp(x - top)
-        pi = np.full(len(chosen), 1 / len(chosen))
-        for _ in range(30):
+        pi, before = np.full(len(chosen), 1 / len(chosen)), -np.inf
+        while True:
             r = e * pi
-            r /= r.sum(axis=1, keepdims=True)
-            new = r.mean(axis=0)
-            if np.abs(new - pi).max() < 1e-4:
-                pi = new
-                break
-            pi = new
-        pi = np.maximum(pi, 1e-12)
-        r = e * pi
-        total = r.sum(axis=1, keepdims=True)
-        return float((np.log(total) + top).sum()), pi, r / total
+            total = r.sum(axis=1, keepdims=True)
+            like = float((np.log(total) + top).sum())
+            if like - before <= 1e-3:  # the likelihood never falls and is bounded
+                return like, pi, r / total
+            before = like
+            pi = np.maximum((r / total).mean(axis=0), 1e-12)
 
     chosen = [int(scores.sum(axis=0).argmax())]
     like, pi, post = em(chosen)
@@ -160,9 +173,13 @@ def label_code(label: Column, codes: DataFrame) -> Column:
 
 
 def sample(docs: DataFrame, code: str) -> DataFrame:
-    """At most SAMPLE documents a language, by the order of a hash; ranks are limited before the shuffle."""
-    fit_for = docs.where(F.col(code).isNotNull() & F.length("text").between(1, SAMPLE_CHARS))
-    rank = F.row_number().over(Window.partitionBy(code).orderBy(F.xxhash64("doc_id"), "doc_id"))
+    """At most SAMPLE documents a language, those of up to SAMPLE_CHARS characters first, by the order of a hash; ranks are limited before the shuffle.
+
+    Longer ones, which often mix languages, fill up what is left with a window.
+    """
+    at = 1 + F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))).cast("int")
+    fit_for = docs.where(F.col(code).isNotNull() & (F.length("text") > 0)).withColumn("long", F.length("text") > SAMPLE_CHARS).withColumn("text", F.substring(F.col("text"), at, F.lit(SAMPLE_CHARS)))
+    rank = F.row_number().over(Window.partitionBy(code).orderBy("long", F.xxhash64("doc_id"), "doc_id"))
     return fit_for.withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select(code, "text")
 
 
@@ -186,60 +203,82 @@ def cut(text: str, classes: dict[str, str]) -> tuple[list[tuple[int, int]], list
 _ENDED = re.compile(r"[.!?…。！？।॥؟۔][\"”»›)\]）」』“’']*$")
 
 
-def whole(sentence: str) -> bool:
+def whole(sentence: str, bag: list[str]) -> bool:
     """Whether a unit is a sentence and no heading or scrap: it has words and ends as one, or is Thai, which has no end mark."""
-    w = words(sentence)
-    if len(w) < 2 and sum(map(len, w)) < 2 * MIN_LETTERS:
+    if len(bag) < 2 and sum(map(len, bag)) < 2 * MIN_LETTERS:
         return False
-    return bool(_ENDED.search(sentence)) or "฀" < max(sentence) and sum("ก" <= c <= "๎" for c in sentence) >= MIN_LETTERS
+    return bool(_ENDED.search(sentence, max(0, len(sentence) - 12))) or "฀" < max(sentence) and sum("ก" <= c <= "๎" for c in sentence) >= MIN_LETTERS
+
+
+FIELDS = ("start_pos", "end_pos", "lang", "confidence", "whole")
+SEGMENT = "start_pos array<int>, end_pos array<int>, lang array<string>, confidence array<double>, whole array<boolean>"
 
 
-def segments_of(text: str | None, classes: dict[str, str], p: Profiles) -> list[tuple[int, int, str | None, float | None, bool]]:
-    """(start_pos, end_pos, lang, confidence, whole sentence) of every unit.
+def segments_of(texts: list[str | None], p: Profiles, classes: list[str | None] | None = None) -> list[tuple[list, list, list, list, list]]:
+    """For each text the lists start_pos, end_pos, lang, confidence, whole sentence of its units; classes are the abbreviations of each text.
 
     Units too short to be told take no part in the mixture; they get the language that leads in the document with its proportion
     as confidence if they hold a letter, and none if they hold no letter or the document has no unit that can be told.
     """
-    if not text:
-        return []
-    spans, parts = cut(text, classes)
-    spans, parts = [list(x) for x in zip(*((s, t) for s, t in zip(spans, parts) if t.strip()))] or ([], [])
-    scored = [p.score(words(part)) if p.langs else None for part in parts]
-    known = [s for s in scored if s is not None]
-    if not known:
-        return [(a + 1, b, None, None, False) for a, b in spans]
-    chosen, pi, post = mixture(np.array(known))
-    best, lead = post.argmax(axis=1), int(pi.argmax())
-    out, i = [], 0
-    for (a, b), part, s in zip(spans, parts, scored):
-        if s is not None:
-            out.append((a + 1, b, p.langs[chosen[best[i]]], float(post[i, best[i]]), whole(part)))
-            i += 1
-        elif any(c.isalpha() for c in part):
-            out.append((a + 1, b, p.langs[chosen[lead]], float(pi[lead]), False))
-        else:
-            out.append((a + 1, b, None, None, False))
+    docs, bags = [], []
+    for k, text in enumerate(texts):
+        spans, parts = cut(text, sentences._parse(classes[k] if classes else None)) if text else ([], [])
+        units = []
+        for span, part in zip(spans, parts):
+            if part.strip():
+                bag = words(part)
+                told = bool(p.langs) and enough(bag)
+                units.append((span, part, bag, told))
+                if told:
+                    bags.append(bag)
+        docs.append(units)
+    scores = p.scores(bags)
+    first = scores.argmax(axis=1) if len(scores) else []
+    out, at = [], 0
+    for units in docs:
+        n = sum(u[3] for u in units)
+        known, best = scores[at : at + n], first[at : at + n]
+        at += n
+        if n and (best == best[0]).all():  # no other language can gain
+            chosen, pi, post, best = [int(best[0])], np.ones(1), np.ones((n, 1)), np.zeros(n, int)
+        elif n:
+            chosen, pi, post = mixture(known)
+            best = post.argmax(axis=1)
+        lead = int(pi.argmax()) if n else 0
+        lists: tuple[list, list, list, list, list] = ([], [], [], [], [])
+        i = 0
+        for (a, b), part, bag, told in units:
+            if told:
+                row = a + 1, b, p.langs[chosen[best[i]]], float(post[i, best[i]]), whole(part, bag)
+                i += 1
+            elif n and any(c.isalpha() for c in part):
+                row = a + 1, b, p.langs[chosen[lead]], float(pi[lead]), False
+            else:
+                row = a + 1, b, None, None, False
+            for col, x in zip(lists, row):
+                col.append(x)
+        out.append(lists)
     return out
 
 
-SEGMENT = "array<struct<start_pos:int,end_pos:int,lang:string,confidence:double,whole:boolean>>"
-
-
 def segments(docs: DataFrame, codes: DataFrame, profiles: Profiles | None = None) -> DataFrame:
     """(doc_id, label, segments): label is the code that the given label means, segments has the language of each unit."""
     p = profiles or fit_profiles(docs, codes)
 
     @F.pandas_udf(SEGMENT)
-    def tell(texts: pd.Series, classes: pd.Series) -> pd.Series:
-        keys = ("start_pos", "end_pos", "lang", "confidence", "whole")
-        return pd.Series([[dict(zip(keys, x)) for x in segments_of(t, sentences._parse(c), p)] for t, c in zip(texts, classes)])
+    def tell(texts: pd.Series, classes: pd.Series) -> pd.DataFrame:
+        out = []
+        for i in range(0, len(texts), 500):
+            out += segments_of(texts.iloc[i : i + 500].tolist(), p, classes.iloc[i : i + 500].tolist())
+        return pd.DataFrame(out, columns=list(FIELDS))
 
     # else the optimiser copies the function into the filters behind it and it runs twice
     tell = tell.asNondeterministic()
-    rows = docs.select(F.col("doc_id"), "text", label_code(F.col("lang"), codes).alias("label"))
-    known = sentences.abbreviations(rows.select(F.xxhash64("doc_id").alias("doc_id"), "text")).withColumnRenamed("doc_id", "k")
-    joined = spread(rows).withColumn("k", F.xxhash64("doc_id").cast("string")).join(known, "k", "left")
-    return joined.select("doc_id", "label", tell("text", "classes").alias("segments"))
+    rows = spread(docs.select(F.col("doc_id"), "text", label_code(F.col("lang"), codes).alias("label")))
+    # written, so that its size is known: small enough it is broadcast, else the join shuffles
+    known = written(sentences.abbreviations(rows.select("doc_id", "text"))).withColumnRenamed("doc_id", "k")
+    told = rows.withColumn("k", F.col("doc_id").cast("string")).join(known, "k", "left").select("doc_id", "label", tell("text", "classes").alias("s"))
+    return told.select("doc_id", "label", F.arrays_zip(*[F.col(f"s.{f}").alias(f) for f in FIELDS]).alias("segments"))
 
 
 def listed(found: DataFrame) -> DataFrame:
