@@ -70,7 +70,9 @@ def excess_lines(df: DataFrame, lines: DataFrame | None = None, false_discoverie
     site_docs = sited.select("site", "doc_id").distinct().groupBy("site").agg(F.count("*").alias("n1"))
     seen = lines.select("site", "doc_id", "k1", "k2").distinct()
     per_site = seen.groupBy("site", "k1", "k2").agg(F.count("*").alias("a"))
-    per_site = written(per_site.withColumn("all", F.sum("a").over(Window.partitionBy("k1", "k2"))))
+    per_site = written(per_site)
+    # a line that every site carries has a row a site: totals are aggregated in two steps and joined back, no window holds them all
+    per_site = written(per_site.join(per_site.groupBy("k1", "k2").agg(F.sum("a").alias("all")), ["k1", "k2"]))
     rate = per_site.agg((F.sum("a") / F.sum(F.col("a") / F.col("all"))).alias("r"))
     docs = site_docs.agg(F.sum("n1").alias("n"))
     t = per_site.join(site_docs, "site").withColumn("n", docs.scalar()).withColumn("ordinary", F.least(rate.scalar() / F.col("n"), F.lit(0.5)))
@@ -105,13 +107,15 @@ def repeated_occurrences(df: DataFrame, **options) -> DataFrame:
 
 
 def without_repeated_lines(df: DataFrame, **options) -> DataFrame:
-    """(chunk_id, text, removed): each text without its repeated lines, by anti-join and reassembly by position."""
-    sited = with_site(df.select("chunk_id", "doc_id", "source_url", "text")).dropDuplicates(["chunk_id", "text"])
-    lines = lines_of(sited, "chunk_id", "site").withColumn("key", line_key(F.col("line")))
-    lines = lines.withColumn("k1", F.when(F.col("key").isNotNull(), F.xxhash64("key"))).withColumn("k2", F.when(F.col("key").isNotNull(), F.hash("key")))
-    kept = lines.join(repeated(sited, **options), ["site", "k1", "k2"], "left_anti")
-    parts = kept.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
-    joined = sited.groupBy("chunk_id").agg(F.min("text").alias("before")).join(parts, "chunk_id", "left")
-    text = F.when(F.col("before").isNull(), None).otherwise(F.coalesce(F.array_join(F.col("l.line"), "\n"), F.lit("")))
-    n = F.size(F.split("before", "\n")) - F.coalesce(F.size("l"), F.lit(0))
-    return joined.select("chunk_id", text.alias("text"), F.coalesce(n, F.lit(0)).alias("removed"))
+    """(chunk_id, text, removed): each distinct text of a chunk without its repeated lines, by anti-join and reassembly by position.
+
+    Only hashes of lines are counted; the numbers of a text's repeated lines, few, come back to it and leave it in place.
+    """
+    sited = with_site(df.select("chunk_id", "doc_id", "source_url", "text").withColumn("h", F.xxhash64("text")))
+    lines = written(_keyed(lines_of(sited, "chunk_id", "h", "doc_id", "site")).drop("line"))
+    gone = lines.join(repeated(sited, lines=lines, **options), ["site", "k1", "k2"], "left_semi").groupBy("chunk_id", "h").agg(F.collect_set("line_no").alias("gone"))
+    # written, so that its size is known: small enough it is broadcast, else the join shuffles each text once
+    t = df.select("chunk_id", "text").withColumn("h", F.xxhash64("text")).join(written(gone), ["chunk_id", "h"], "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i + 1)), "\n")
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
+    return t.select("chunk_id", "h", text.alias("text"), F.coalesce(F.size("gone"), F.lit(0)).alias("removed")).distinct().drop("h")
