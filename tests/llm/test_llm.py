@@ -380,6 +380,42 @@ def test_leaks(spark):
     assert leakage.leaks(df, it.where("false")).count() == 0 and leakage.leaks(df.where("false"), it).count() == 0
 
 
+def test_edited_leaks(spark):
+    """A part with words changed, left out or put in is reported up to its budget, against a plain edit distance."""
+    rnd = random.Random(21)
+    vocabulary = [f"t{i}" for i in range(400)]
+
+    def least_distance(p, t):
+        row = [0] * (len(t) + 1)
+        for i, x in enumerate(p, 1):
+            old, row = row, [i]
+            for j, y in enumerate(t, 1):
+                row.append(min(old[j - 1] + (x != y), old[j] + 1, row[j - 1] + 1))
+        return min(row)
+
+    items = [(i, " ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(12, 40))), None) for i in range(20)]
+    docs, want = [], {}
+    for d in range(120):
+        i = rnd.randrange(20)
+        w = items[i][1].split()
+        for _ in range(rnd.randint(0, 9)):
+            k = rnd.randrange(len(w))
+            w[k : k + 1] = rnd.choice([[], ["new"], [w[k], "new"]])
+        text = [rnd.choice(vocabulary) for _ in range(15)] + w + [rnd.choice(vocabulary) for _ in range(15)]
+        docs.append((d, " ".join(text)))
+        for n, t, _ in items:
+            p = t.split()
+            k = least_distance(p, text)
+            if k <= leakage.budget(len(p), leakage.EDITS):
+                want[d, n] = k
+    docs.append((900, "The yearly costs of this fund are paid by all who hold its units on the last day of the changed month, says the note."))
+    items.append((50, "the yearly costs of this fund are paid by all who hold its units on the last day of the month", None))
+    want[900, 50] = 1
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, query string, expected string")
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in leakage.leaks(df, it, edits=leakage.EDITS).collect() if r["distance"] <= leakage.budget(r["part_words"], leakage.EDITS)}
+    assert got == want and len({k for k in want.values()}) > 3
+
+
 def test_myers():
     def brute(p, t):
         row = [0] * (len(t) + 1)
