@@ -4,7 +4,7 @@ Bound-certified repacking. Documents are spread over packing partitions of bound
 is packed by best-fit decreasing, and dual-feasible functions give a lower bound of the bins that
 the partition's documents need. A partition that meets its bound is certified and done; the
 documents of the others' poorly filled bins are exchanged between partitions and packed
-again, in a few rounds. A document that exceeds the capacity is split into full containers and a rest,
+again, as long as that saves a bin. The result tells which containers are certified: those of partitions that meet their bound, and full ones. A document that exceeds the capacity is split into full containers and a rest,
 none other is split.
 
 Sizes are tokens of a public byte-level BPE; the folder of the vocabulary is a parameter.
@@ -30,7 +30,6 @@ from factlake.common import spread, written
 
 TOKENIZERS = os.environ.get("FACTLAKE_TOKENIZERS", "/opt/tokenizers")
 PIECES_A_PARTITION = 20_000
-ROUNDS = 2
 PACKED = "container_kind string, part int, bin int, doc_id long, piece int, tokens int, bound int, bins int"
 
 
@@ -68,8 +67,6 @@ def lower_bound(sizes: list[int], capacity: int) -> int:
         prefix.append(prefix[-1] + s)
     n = len(ordered)
     below = sorted({s for s in ordered if s <= capacity // 2})
-    if len(below) > 512:  # any choice of thresholds gives a valid bound
-        below = below[:: len(below) // 512 + 1]
     for e in below:
         big = n - bisect_left(ordered, capacity - e + 1)
         middle = prefix[n - big] - prefix[bisect_left(ordered, e)]
@@ -126,29 +123,31 @@ def _parts(pieces: DataFrame, salt: int) -> DataFrame:
     return pieces.join(n, "container_kind").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", F.lit(salt)), F.col("parts")).cast("int")).drop("parts")
 
 
-def pack(docs: DataFrame, capacities: DataFrame, rounds: int = ROUNDS, folder: str = TOKENIZERS) -> DataFrame:
-    """(container_kind, container_id, doc_id, piece, tokens): every piece of every document in exactly one container of each kind.
+def pack(docs: DataFrame, capacities: DataFrame, rounds: int | None = None, folder: str = TOKENIZERS) -> DataFrame:
+    """(container_kind, container_id, doc_id, piece, tokens, certified): every piece of every document in exactly one container of each kind.
 
     docs has (doc_id, text). After a round, all bins of certified partitions and the full bins of the others are
-    settled; the documents of their other bins change partitions and are packed again.
+    settled; the documents of their other bins change partitions and are packed again, until a round saves no bin (or after ``rounds`` of them).
     """
     pieces = _pieces(written(token_counts(docs, folder=folder)), capacities)  # tokenised once
     caps = {r[0]: r[1] for r in capacities.select("container_kind", "capacity_tokens").distinct().collect()}
     capacity = F.element_at(F.create_map(*[F.lit(x) for kv in sorted(caps.items()) for x in kv]), F.col("container_kind")) if caps else F.lit(None).cast("int")
-    done, rest = None, pieces
-    for turn in range(rounds + 1):
+    done, rest, before, open_, turn = None, pieces, math.inf, None, 0
+    bin_ = ["container_kind", "part", "bin"]
+    while True:
         packed = written(_parts(rest, turn).groupBy("container_kind", "part").applyInPandas(_pack, PACKED))
-        name = F.concat_ws("-", F.lit(turn), "part", "bin")
-        if turn == rounds:
-            settled = packed.withColumn("container_id", name)
-            done = settled if done is None else done.unionByName(settled)
-            break
-        fill = packed.groupBy("container_kind", "part", "bin").agg(F.sum("tokens").alias("fill"), F.first("bins").alias("bins"), F.first("bound").alias("bound"))
-        open_ = fill.where((F.col("bins") > F.col("bound")) & (F.col("fill") < capacity)).select("container_kind", "part", "bin")
-        settled = packed.join(open_, ["container_kind", "part", "bin"], "left_anti").withColumn("container_id", name)
+        fill = packed.groupBy(bin_).agg(F.sum("tokens").alias("fill"), F.first("bins").alias("bins"), F.first("bound").alias("bound"))
+        fill = written(fill.select(*bin_, ((F.col("bins") <= F.col("bound")) | (F.col("fill") >= capacity)).alias("certified")))
+        used, left = fill.agg(F.count("*"), F.count_if(~F.col("certified"))).first()
+        last = not left or used >= before or turn == rounds
+        named = packed.withColumn("container_id", F.concat_ws("-", F.lit(turn), "part", "bin")).join(fill, bin_)
+        # a round that needs more bins than before is dropped for the bins it began with
+        settled = (named if used <= before else open_) if last else named.where("certified")
         done = settled if done is None else done.unionByName(settled)
-        rest = packed.join(open_, ["container_kind", "part", "bin"], "left_semi").select("doc_id", "container_kind", capacity.alias("capacity"), "piece", "tokens")
-    return done.select("container_kind", "container_id", "doc_id", "piece", "tokens")
+        if last:
+            return done.select("container_kind", "container_id", "doc_id", "piece", "tokens", "certified")
+        rest = packed.join(fill.where("not certified"), bin_, "left_semi").select("doc_id", "container_kind", capacity.alias("capacity"), "piece", "tokens")
+        before, open_, turn = left, named.where("not certified"), turn + 1
 
 
 def quality(packed: DataFrame, capacities: DataFrame) -> DataFrame:

@@ -303,6 +303,22 @@ def test_packing(spark):
         packing.pack(df, spark.createDataFrame([("s", 0)], "container_kind string, capacity_tokens int"))
 
 
+def test_packing_certificate(spark):
+    """Full containers and those of partitions that meet their bound are certified; one that misses it is not."""
+    docs = [(i, "word " * 64) for i in range(8)] + [(10 + i, "word " * 43) for i in range(4)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    caps = spark.createDataFrame([("full", 128), ("loose", 100)], "container_kind string, capacity_tokens int")
+    size = {r[0]: r[1] for r in packing.token_counts(df).collect()}
+    rows = packing.pack(df, caps).collect()
+    for kind, cap in (("full", 128), ("loose", 100)):
+        mine = [r for r in rows if r["container_kind"] == kind]
+        assert {r["doc_id"] for r in mine} == set(size)
+        bound = packing.lower_bound(list(size.values()), cap)
+        if len({r["container_id"] for r in mine}) == bound:
+            assert all(r["certified"] for r in mine)
+    assert any(r["certified"] for r in rows)
+
+
 def test_lower_bound_is_one():
     def best(items, cap):
         if not items:
