@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from factlake.catalog_sql import SQL
 from factlake.common import each, shared_folder, spread, table, written
-from factlake.functions import text, vectors
+from factlake import schemas
+from factlake.functions import sqlfunctions, text, vectors
 from factlake.operators import answer, audit, bm25, ingest, query, retrieve, units
 from factlake.plans import pipeline
 from factlake.sources import sinks
@@ -93,19 +94,23 @@ def facts_replaced_by_document(spark, sf_dir):
 @_query
 def vectors_upserted(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"))
-    new = v.where("vec_id % 3 = 0").select("vec_id", (F.col("label") + 100).alias("label"))
-    return sinks.upsert(v, new, "vec_id", "label")
+    """Every third vector again with two labels, of which the greater counts, and as many new ones."""
+    again = v.where("vec_id % 3 = 0")
+    new = again.select("vec_id", (F.col("label") + 100).alias("label")).unionByName(again.select("vec_id", (F.col("label") + 50).alias("label")))
+    return sinks.upsert(v, new.unionByName(again.select((F.col("vec_id") + 1_000_000).alias("vec_id"), "label")), "vec_id", "label")
 
 
 @_query
 def new_facts_only(spark, sf_dir):
-    f = table(spark, sf_dir, "extracted_facts").select("fact_id", "doc_id").distinct()
-    return sinks.new_only(f, table(spark, sf_dir, "structured_fact"), "doc_id")
+    """Facts whose value the index of earlier runs does not have for their document and type."""
+    f = table(spark, sf_dir, "extracted_facts").where("value is not null").select("fact_id", "doc_id", "fact_type", "value").distinct()
+    return sinks.new_only(f, table(spark, sf_dir, "structured_fact").where("value is not null"), ["doc_id", "fact_type", "value"])
 
 
 @_query
 def documents_without_facts(spark, sf_dir):
-    return audit.missing(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "structured_fact"), "doc_id")
+    """Documents with chunks whose index holds no price."""
+    return audit.missing(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "structured_fact").where("fact_type = 'nav' and value is not null"), "doc_id")
 
 
 @_query
@@ -116,7 +121,7 @@ def documents_in_both(spark, sf_dir):
 @_query
 def latest_fetch(spark, sf_dir):
     f = table(spark, sf_dir, "fetch_result").select("url", "status", "fetched_at")
-    return sinks.latest(f.withColumn("at", F.concat_ws("|", "fetched_at", "status")), "url", "at").select("url", "status", "fetched_at")
+    return sinks.latest(f.withColumn("at", F.struct(F.col("fetched_at").cast("timestamp"), "status")), "url", "at").select("url", "status", "fetched_at")
 
 
 @_query
@@ -148,7 +153,8 @@ def run_registry(spark, sf_dir):
 @_query
 def breaker_runs(spark, sf_dir):
     f = table(spark, sf_dir, "fetch_result").select("doc_id", "fetched_at", "status").distinct().withColumn("_id", F.col("status"))
-    return ingest.failure_runs(f, "doc_id", "fetched_at", F.col("status") == "failed", 2).select("doc_id", "started", "ended", "failures", "opens")
+    f = f.withColumn("at", F.struct(F.col("fetched_at").cast("timestamp").alias("t"), F.col("fetched_at").alias("s")))
+    return ingest.failure_runs(f, "doc_id", "at", F.col("status") == "failed", 2).withColumn("started", F.col("started.s")).withColumn("ended", F.col("ended.s")).select("doc_id", "started", "ended", "failures", "opens")
 
 
 @_query
@@ -156,9 +162,69 @@ def backoff_schedule(spark, sf_dir):
     return spark.range(1, 9).select(F.col("id").alias("attempt"), ingest.backoff(F.col("id")).alias("seconds"))
 
 
+EMBEDDING_DIM = 64
+
+
+def _manifest(spark, sf_dir):
+    c, f = table(spark, sf_dir, "chunks"), table(spark, sf_dir, "structured_fact")
+    n = audit.embed_totals(c, ingest.embedded(c.dropDuplicates(["chunk_id"]).select("chunk_id", "text")), f, EMBEDDING_DIM)
+    documents = c.agg(F.count_distinct("doc_id")).scalar()
+    return n.select(F.lit("run-1").alias("run_id"), F.lit("hashed").alias("model"), F.lit(EMBEDDING_DIM).alias("expected_dim"), "*", documents.alias("documents"), F.col("facts_stored").alias("stored"))
+
+
+@_query
+def embed_totals(spark, sf_dir):
+    return _manifest(spark, sf_dir).select("total_chunks", "embedded", "rejected", "facts_stored", "documents")
+
+
+@_query
+def chunks_with_facts(spark, sf_dir):
+    return audit.facts_of_chunks(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "structured_fact").where("confidence = 'HIGH'"))
+
+
+def _checks(spark, sf_dir):
+    m = written(_manifest(spark, sf_dir))
+    c, f, v, log = (table(spark, sf_dir, t) for t in ("chunks", "structured_fact", "embeddings", "fetch_result"))
+    return audit.checks_of(
+        audit.manifest_check(m, ["hashed"], [EMBEDDING_DIM], log.where("status = 'success'").agg(F.count_distinct("doc_id")).scalar()),
+        audit.columns_check(f, "fact_store", [c.split()[0] for c in schemas.STRUCTURED_FACT.split(", ")]),
+        audit.columns_check(c, "chunk_table", ["chunk_id", "doc_id", "embedding"]),
+        audit.count_check(c.select("chunk_id").distinct(), "store_count", m.select("embedded").scalar()),
+        audit.count_check(f, "fact_count", m.select("stored").scalar()),
+        audit.coverage_check(log, c, f),
+        audit.integrity_check(v, EMBEDDING_DIM),
+        audit.subset_check(f, "fact_types", ["nav", "aum", "exit_load"], "fact_type"),
+    )
+
+
+@_query
+def audit_checks(spark, sf_dir):
+    return _checks(spark, sf_dir)
+
+
+@_query
+def audit_summary(spark, sf_dir):
+    return _long(audit.summary(_checks(spark, sf_dir), "run-1"), "passed", "failed")
+
+
+@_query
+def registry_after_audit(spark, sf_dir):
+    """The run log after a run whose checks failed (it stays out) and one whose checks passed."""
+    days = table(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("run_id")).distinct().withColumn("activated_at", F.col("run_id"))
+    bad, good = _checks(spark, sf_dir), audit.subset_check(table(spark, sf_dir, "structured_fact"), "fact_types", ["nav"], "fact_type")
+    run = lambda name: spark.range(1).select(F.lit(name).alias("run_id"), F.lit(AS_OF).alias("activated_at"))
+    return audit.swapped(audit.swapped(days, run("run-bad"), bad), run("run-good"), good)
+
+
+@_query
+def trusted_sources(spark, sf_dir):
+    u = table(spark, sf_dir, "chunks").select("source_url").distinct()
+    return u.select("source_url", ingest.trusted(F.col("source_url"), ["gavranefunds.example", "www.gavranefunds.example"]).alias("trusted"))
+
+
 @_query
 def vector_digest(spark, sf_dir):
-    return audit.digest(table(spark, sf_dir, "embeddings"), "vec_id", "label")
+    return audit.digest(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding")
 
 
 # --- addresses -----------------------------------------------------------------------------------
@@ -254,6 +320,12 @@ def extracted_from_text(spark, sf_dir):
     return f.select("doc_id", "f.fact_type", "f.confidence", F.length("f.raw_snippet").cast("long").alias("length"))
 
 
+@_query
+def extracted_values(spark, sf_dir):
+    f = each(_documents(spark, sf_dir).select("doc_id", text.extract_facts(F.col("text")).alias("a")), "a", "f").where("f.fact_type in ('expense_ratio', 'nav', 'min_sip', 'min_lumpsum', 'inception_date', 'fund_manager')")
+    return f.select("doc_id", "f.fact_type", "f.value")
+
+
 @_query
 def extraction_results(spark, sf_dir):
     e = ingest.extract(_page(spark, sf_dir))
@@ -294,6 +366,15 @@ def long_texts_split(spark, sf_dir):
     return d.select("doc_id", F.col("piece").cast("long").alias("piece"), F.sha2("t", 256).alias("digest"))
 
 
+@_query
+def chunk_table_function(spark, sf_dir):
+    """The pieces of every document by the SQL table function chunk_text."""
+    sqlfunctions.register(spark)
+    _documents(spark, sf_dir).select("doc_id", "text").createOrReplaceTempView("factlake_documents")
+    t = spark.sql("select doc_id, c.piece, c.words, c.text from factlake_documents, lateral chunk_text(text, 250) c")
+    return t.select("doc_id", F.col("piece").cast("long").alias("piece"), F.col("words").cast("long").alias("words"), F.sha2("text", 256).alias("digest"))
+
+
 @_query
 def semantic_chunks(spark, sf_dir):
     return ingest.chunked(_documents(spark, sf_dir)).select("doc_id", "idx", "chunk_id", "chunk_type", "token_count", "overlap", "text")
@@ -395,6 +476,24 @@ def fact_lookup_answers(spark, sf_dir):
     return retrieve.structured_lookup(q, table(spark, sf_dir, "structured_fact")).select("query_id", "doc_id", "value")
 
 
+@_query
+def fact_sentences(spark, sf_dir):
+    """The sentences for questions that ask for the fund assets of two documents, of which the first that has them counts, with the confidence that a named fact type gives."""
+    q = table(spark, sf_dir, "structured_fact").groupBy("doc_id").agg(F.min("id").alias("query_id"))
+    q = q.select("query_id", F.array("doc_id", F.lit("DOC-001")).alias("doc_ids"), query.fact_type(F.lit("Fund size?")).alias("fact_type"), query.fact_confidence(F.lit("Fund size?")).alias("confidence"))
+    return retrieve.structured_lookup(q, table(spark, sf_dir, "structured_fact").where("source_url is not null")).select("query_id", "doc_id", "sentence")
+
+
+@_query
+def hybrid_fusion(spark, sf_dir):
+    """Cosine, BM25 and looked-up documents fused: query vector, golden question and corpus row share their number; the row with the query's own number counts as looked up."""
+    dense = _dense(spark, sf_dir).select("query_id", F.col("vec_id").alias("id"), "rank", F.col("similarity").alias("score"))
+    sparse = _bm25(spark, sf_dir, "query").select("query_id", F.col("doc_id").alias("id"), "rank", "score")
+    looked = table(spark, sf_dir, "golden_items").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("item_id").alias("id"))
+    f = retrieve.fuse(dense, sparse, looked)
+    return _long(f.withColumn("rrf", F.round("rrf", 6)).withColumn("similarity", F.round("similarity", 3)), "rank")
+
+
 # --- questions and answers ------------------------------------------------------------------------
 
 
@@ -449,7 +548,15 @@ def number_traceability(spark, sf_dir):
 
 @_query
 def answer_checks(spark, sf_dir):
-    return table(spark, sf_dir, "golden_items").select("item_id", answer.checked(F.col("expected"), F.col("expected")).alias("c")).select("item_id", "c.*")
+    """The expected answers, checked against their question as context."""
+    return table(spark, sf_dir, "golden_items").select("item_id", answer.checked(F.col("expected"), F.col("query")).alias("c")).select("item_id", "c.*")
+
+
+@_query
+def answer_verdicts(spark, sf_dir):
+    """The verdicts of the same checks by category."""
+    c = table(spark, sf_dir, "golden_items").select("category", answer.checked(F.col("expected"), F.col("query")).alias("c"))
+    return c.groupBy("category", "c.status").agg(F.count("*").alias("answers"))
 
 
 @_query
@@ -465,7 +572,15 @@ def formatted_answers(spark, sf_dir):
 
 @_query
 def golden_report(spark, sf_dir):
-    return audit.evaluation(table(spark, sf_dir, "golden_items").withColumn("head", F.substring("expected", 1, 20)), "category", "head", "expected")
+    """Golden questions of which one of the ten best documents by BM25 holds the expected answer, by category."""
+    g, d = table(spark, sf_dir, "golden_items"), _documents(spark, sf_dir)
+    asked = g.select(F.col("item_id").alias("query_id"), F.col("query").alias("q"))
+    top = bm25.top_k(bm25.score(bm25.index(d, "doc_id", "text"), "doc_id", asked, "query_id", "q"), "query_id", "doc_id")
+    read = top.join(d.select("doc_id", "text"), "doc_id").join(g.select(F.col("item_id").alias("query_id"), "expected"), "query_id")
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
+    hit = read.groupBy("query_id").agg(F.max(F.coalesce(plain("text").contains(plain("expected")), F.lit(False))).alias("hit"))
+    told = g.join(hit, F.col("item_id") == F.col("query_id"), "left")
+    return audit.evaluation(told.select("category", F.lit("yes").alias("want"), F.when(F.col("hit"), "yes").alias("got")), "category", "want", "got")
 
 
 @_query
@@ -499,6 +614,14 @@ def stream_sliding_windows(spark, sf_dir):
     return w.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
+@_query
+def stream_deduplicated(spark, sf_dir):
+    """Events delivered twice, counted once."""
+    e = _stream(spark, sf_dir)
+    d = _once(streams.deduplicated(e.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))), "event_id"), "deduplicated", "append")
+    return d.groupBy("event_type").agg(F.count("*").alias("events"))
+
+
 @_query
 def stream_sessions(spark, sf_dir):
     w = _once(streams.sessions(_stream(spark, sf_dir), "user_id"), "sessions")
@@ -528,8 +651,8 @@ def approximate_distinct(spark, sf_dir):
 @_query
 def facts_as_of(spark, sf_dir):
     """For each extracted fact the value indexed last before it, by one sort of both tables' rows."""
-    new = table(spark, sf_dir, "extracted_facts").select("doc_id", "fact_type", F.col("extracted_at").alias("at"), F.col("fact_id")).distinct()
-    old = table(spark, sf_dir, "structured_fact").where("value is not null").groupBy("doc_id", "fact_type", F.col("indexed_at").alias("at")).agg(F.min("value").alias("v"))
+    new = table(spark, sf_dir, "extracted_facts").select("doc_id", "fact_type", F.col("extracted_at").cast("timestamp").alias("at"), F.col("fact_id")).distinct()
+    old = table(spark, sf_dir, "structured_fact").where("value is not null").groupBy("doc_id", "fact_type", F.col("indexed_at").cast("timestamp").alias("at")).agg(F.min("value").alias("v"))
     both = new.withColumn("v", F.lit(None).cast("string")).withColumn("side", F.lit(1)).unionByName(old.withColumn("fact_id", F.lit(None).cast("long")).withColumn("side", F.lit(0)))
     w = Window.partitionBy("doc_id", "fact_type").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return both.withColumn("earlier", F.last("v", ignorenulls=True).over(w)).where("side = 1").select("fact_id", "doc_id", "fact_type", "earlier")

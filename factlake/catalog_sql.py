@@ -32,9 +32,9 @@ _DOC_TOKENS = r"""
  idf as (select term, df, case when raw < 0 then 0.25 * (select avg(raw) from raw) else raw end as idf from raw)"""
 
 
-def _ranked(name: str, body: str) -> str:
+def _ranked(name: str, body: str, which: str = "item_id % 100 = 0") -> str:
     return rf"""
- {name}q as (select item_id as query_id, t as term, count(*) as times from (select item_id, unnest(regexp_extract_all(lower({body}), '[\p{{L}}\p{{N}}_]+')) as t from golden_items where item_id % 100 = 0) group by 1, 2),
+ {name}q as (select item_id as query_id, t as term, count(*) as times from (select item_id, unnest(regexp_extract_all(lower({body}), '[\p{{L}}\p{{N}}_]+')) as t from golden_items where {which}) group by 1, 2),
  {name}s as (select query_id, p.doc_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / avgdl))) as score
    from {name}q q join post p on p.term = q.term join idf i on i.term = q.term join len l on l.doc_id = p.doc_id, stat group by 1, 2),
  {name} as (select query_id, doc_id, score, row_number() over (partition by query_id order by round(score, 6) desc, doc_id) as rank from {name}s qualify rank <= 10)"""
@@ -116,6 +116,36 @@ def _visible(column: str) -> str:
     return rf"array_to_string(list_filter(list_transform(string_split({t}, chr(10)), lambda x: regexp_replace(x, '^[\t\n\x0B\f\r\x{{85}}\pZ]+|[\t\n\x0B\f\r\x{{85}}\pZ]+$', '', 'g')), lambda x: x <> ''), chr(10))"
 
 
+def _words(column: str) -> str:
+    return rf"list_filter(regexp_split_to_array({column}, '[\t\n\x0B\f\r\x{{85}}\pZ]+'), lambda x: x <> '')"
+
+
+_VALUES = ("expense_ratio", "nav", "min_sip", "min_lumpsum", "inception_date", "fund_manager")
+
+
+def _value(kind: str, pattern: str) -> str:
+    v = f"trim(replace(trim(regexp_extract(text, {_lit(pattern)}, 1), ' '), '?', ''), ' ')"
+    if kind in ("nav", "min_sip", "min_lumpsum"):
+        return f"'₹' || rtrim({v}, '.,; ')"
+    return f"{v} || '%'" if kind == "expense_ratio" else v
+
+
+_TOTALS = r"""with t as (select chunk_id, max(case when len(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) > 0 then 1 else 0 end) as good from chunks group by 1)
+ select count(*) as total_chunks, sum(good)::bigint as embedded, (count(*) - sum(good))::bigint as rejected, (select count(*) from structured_fact) as facts_stored, (select count(distinct doc_id) from chunks) as documents from t"""
+_CHECKS = rf"""with m as ({_TOTALS}), log as (select count(distinct doc_id) as n from fetch_result where status = 'success'),
+ listed as (select distinct doc_id from fetch_result),
+ cov as (select count(*) as n, count(*) filter (doc_id not in (select doc_id from chunks) or doc_id not in (select doc_id from structured_fact)) as bad from listed),
+ vec as (select count(*) as n, count(*) filter (len(embedding) <> 64 or abs(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) - 1) > 0.01) as bad from embeddings),
+ f as (select concat_ws('; ', case when rejected <> 0 then 'rejected chunks' end, case when documents < log.n then 'documents missing' end) as said from m, log),
+ k as (select 'manifest' as name, said = '' as passed, case when said = '' then 'valid' else said end as message from f
+  union all select 'fact_store', facts_stored > 0, facts_stored || ' rows' from m
+  union all select 'chunk_table', false, 'missing columns: embedding'
+  union all select 'store_count', total_chunks = embedded, total_chunks || ' of ' || embedded from m
+  union all select 'fact_count', true, facts_stored || ' of ' || facts_stored from m
+  union all select 'coverage', bad = 0 and n > 0, bad || ' of ' || n || ' documents incomplete' from cov
+  union all select 'integrity', bad = 0 and n > 0, bad || ' of ' || n || ' vectors invalid' from vec
+  union all select 'fact_types', count(distinct fact_type) = 3, case when count(distinct fact_type) = 3 then 'all' else 'missing' end from structured_fact where fact_type in ('nav', 'aum', 'exit_load'))"""
+
 SQL: dict[str, str] = {
     "fact_sources": "select distinct source_url from structured_fact",
     "facts_per_document": "select doc_id, count(*) as facts, count(distinct fact_type) as types from structured_fact group by 1",
@@ -124,11 +154,11 @@ SQL: dict[str, str] = {
     "fact_sample": "select distinct id, doc_id, fact_type from structured_fact order by id limit 1",
     "fact_lookup": "select doc_id, fact_type, arg_min(value, id) as value from structured_fact where value is not null group by 1, 2",
     "facts_replaced_by_document": "with n as (select fact_id + 1000000000 as id, doc_id, fact_type, value from extracted_facts where confidence = 'HIGH') select id, doc_id, fact_type, value from structured_fact where doc_id not in (select doc_id from n) union all select * from n",
-    "vectors_upserted": "select vec_id, cast(label as bigint) + case when vec_id % 3 = 0 then 100 else 0 end as label from embeddings",
-    "new_facts_only": "select distinct fact_id, doc_id from extracted_facts where doc_id not in (select doc_id from structured_fact)",
-    "documents_without_facts": "select doc_id from chunks except select doc_id from structured_fact",
+    "vectors_upserted": "select vec_id, cast(label as bigint) + case when vec_id % 3 = 0 then 100 else 0 end as label from embeddings union all select vec_id + 1000000, cast(label as bigint) from embeddings where vec_id % 3 = 0",
+    "new_facts_only": "select distinct fact_id, doc_id, fact_type, value from extracted_facts f where value is not null and not exists (select 1 from structured_fact s where s.doc_id = f.doc_id and s.fact_type = f.fact_type and s.value = f.value)",
+    "documents_without_facts": "select doc_id from chunks except select doc_id from structured_fact where fact_type = 'nav' and value is not null",
     "documents_in_both": "select doc_id from chunks intersect select doc_id from structured_fact",
-    "latest_fetch": "select url, arg_max(status, fetched_at || '|' || status) as status, max(fetched_at) as fetched_at from fetch_result group by 1",
+    "latest_fetch": "select url, arg_max(status, (cast(fetched_at as timestamptz), status)) as status, arg_max(fetched_at, (cast(fetched_at as timestamptz), status)) as fetched_at from fetch_result group by 1",
     "fetch_manifest": "select count(*) as total, count(*) filter (status = 'success') as success, count(*) filter (status = 'not_modified') as not_modified, count(*) filter (status = 'failed') as failed from (select distinct * from fetch_result)",
     "fact_manifest": "select doc_id, count(*) as total, count(*) filter (confidence = 'HIGH') as \"HIGH\", count(*) filter (confidence = 'MEDIUM') as \"MEDIUM\", count(*) filter (confidence = 'LOW') as \"LOW\" from (select distinct * from extracted_facts) group by 1",
     "coverage_report": "with d as (select distinct doc_id from fetch_result), c as (select doc_id, count(*) as c from chunks group by 1), f as (select doc_id, count(*) as f from structured_fact group by 1), k as (select doc_id from d union select doc_id from c union select doc_id from f) select k.doc_id, case when d.doc_id is null then 0 else 1 end as listed, coalesce(c, 0) as chunks, coalesce(f, 0) as facts, d.doc_id is not null and coalesce(c, 0) > 0 and coalesce(f, 0) > 0 as complete from k left join d on d.doc_id = k.doc_id left join c on c.doc_id = k.doc_id left join f on f.doc_id = k.doc_id",
@@ -173,13 +203,47 @@ SQL: dict[str, str] = {
     "banned_phrases": "select doc_id, concat_ws(',', " + ", ".join(f"case when contains(lower(text), {_lit(p)}) then {_lit(p)} end" for _, ps in D.BANNED for p in ps) + ") as phrases from documents",
     "number_traceability": r"select item_id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(expected, '\b\d+(?:\.\d+)?\b')), lambda n: not contains(query, n))), ',') as numbers from golden_items",
     "prompt_hashes": "select item_id, sha256('Answer from the context only.' || chr(10) || query) as hash from golden_items",
-    "golden_report": "select category, count(*) as total, count(*) as passed from golden_items group by 1",
+    "golden_report": rf"""with {_DOC_TOKENS}, {_ranked("rq", "query", "true")},
+ h as (select query_id, max(case when contains(regexp_replace(lower(d.text), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), trim(regexp_replace(lower(g.expected), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))) then 1 else 0 end) as hit from rq join documents d on d.doc_id = rq.doc_id join golden_items g on g.item_id = query_id group by 1)
+ select category, count(*) as total, count(*) filter (hit = 1) as passed from golden_items left join h on query_id = item_id group by 1""",
     "stream_event_windows": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n, round(sum(value), 2) as value from events group by 1, 2",
     "stream_sliding_windows": "with e as (select event_type, unnest([date_trunc('day', ts), date_trunc('day', ts) - interval 1 day]) as s from events) select strftime(s, '%Y-%m-%d') as day, event_type, count(*) as n from e group by 1, 2",
     "stream_sessions": "with o as (select user_id, ts, case when ts < lag(ts) over (partition by user_id order by ts) + interval 30 minute then 0 else 1 end as s from events) select user_id, sum(s)::bigint as sessions, count(*) as events from o group by 1",
     "fact_rollup": "select fact_type, confidence, count(*) as facts, count(distinct doc_id) as documents from (select distinct * from extracted_facts) group by rollup (fact_type, confidence)",
     "event_cube": "select event_type, day, count(*) as n from (select event_type, strftime(ts, '%Y-%m-%d') as day from events) group by cube (event_type, day)",
     "facts_as_of": "with n as (select distinct fact_id, doc_id, fact_type, extracted_at from extracted_facts), o as (select doc_id, fact_type, indexed_at, min(value) as v from structured_fact where value is not null group by 1, 2, 3) select n.fact_id, n.doc_id, n.fact_type, o.v as earlier from n asof left join o on n.doc_id = o.doc_id and n.fact_type = o.fact_type and n.extracted_at >= o.indexed_at",
+    "extracted_values": " union all ".join(f"select doc_id, '{n}' as fact_type, {_value(n, p)} as value from documents where regexp_matches(text, {_lit(p)})" for n, p, _ in D.FACT_PATTERNS if n in _VALUES),
+    "fact_sentences": f"""with q as (select doc_id, min(id) as query_id from structured_fact group by 1), w as (select query_id, doc_id, 0 as pos from q union all select query_id, 'DOC-001', 1 from q),
+ o as (select doc_id, arg_min(value, id) as value, arg_min(source_url, id) as url from structured_fact where fact_type = 'aum' and value is not null and source_url is not null group by 1),
+ h as (select query_id, o.doc_id, value, url, row_number() over (partition by query_id order by pos) as n from w join o on o.doc_id = w.doc_id)
+ select query_id, doc_id, 'The aum for ' || array_to_string(list_transform(string_split(regexp_extract(url, '[^/]*$'), '-'), lambda x: upper(x[1]) || lower(x[2:])), ' ') || ' is ' || value || '.' as sentence from h where n = 1""",
+    "hybrid_fusion": f"""with {_DOC_TOKENS}, {_ranked("sq", "query")},
+ v as (select vec_id as query_id, embedding::double[] as a from embeddings where vec_id % 100 = 0),
+ dq as (select query_id, vec_id as id, round(list_dot_product(a, embedding::double[]), 9) as score, row_number() over (partition by query_id order by round(list_dot_product(a, embedding::double[]), 9) desc, vec_id) as rank from v, embeddings qualify rank <= 10),
+ s as (select query_id, doc_id as id, rank, case when max(score) over (partition by query_id) > 0 then least(0.75 + 0.15 * score / max(score) over (partition by query_id), 0.9) else 0.75 end as score from sq),
+ u as (select query_id, id, 1 / (60 + rank) as r, score as dense, null as sparse, 0 as looked from dq union all select query_id, id, 1 / (60 + rank), null, score, 0 from s union all select item_id, item_id, 1 / 61, null, null, 1 from golden_items where item_id % 100 = 0),
+ g as (select query_id, id, sum(r) as rrf, max(dense) as dense, max(sparse) as sparse, max(looked) as looked from u group by 1, 2)
+ select query_id, id, round(rrf, 6) as rrf, round(round(case when looked = 1 then 1.0 else coalesce(dense, sparse) end, 4), 3) as similarity,
+   case when looked = 1 then 'structured' when dense is not null and sparse is not null then 'dense+bm25' when dense is not null then 'dense' else 'bm25' end as retriever,
+   row_number() over (partition by query_id order by round(rrf, 9) desc, id) as rank from g""",
+    "embed_totals": f"select * from ({_TOTALS})",
+    "chunks_with_facts": "with c as (select doc_id, count(distinct chunk_id) as chunks from chunks group by 1), f as (select doc_id, count(*) as facts, count(distinct fact_type) as types from structured_fact where confidence = 'HIGH' and value is not null group by 1) select c.doc_id, chunks, coalesce(facts, 0) as facts, coalesce(types, 0) as types from c left join f on f.doc_id = c.doc_id",
+    "audit_checks": _CHECKS + " select * from k",
+    "audit_summary": _CHECKS + " select 'run-1' as run_id, count(*) filter (passed) as passed, count(*) filter (not passed) as failed, count(*) filter (not passed) = 0 and count(*) > 0 as live, coalesce(string_agg(name, ', ' order by name) filter (not passed), '') as failures from k",
+    "registry_after_audit": _CHECKS + f", r as (select distinct strftime(ts, '%Y-%m-%d') as run_id from events) select run_id, run_id as activated_at from r union all select 'run-bad', '2026-06-01' where (select count(*) filter (not passed) = 0 from k) union all select 'run-good', '2026-06-01' where exists (select 1 from structured_fact where fact_type = 'nav')",
+    "trusted_sources": "select distinct source_url, coalesce(regexp_matches(source_url, '(?i)^https?://(www\\.)?gavranefunds\\.example(/|$)'), false) as trusted from chunks",
+    "chunk_table_function": r"with w as (select doc_id, list_filter(regexp_split_to_array(text, '[\t\n\x0B\f\r\x{85}\pZ]+'), lambda x: x <> '') as w from documents), p as (select doc_id, w, unnest(range(0, greatest(1, (len(w) + 249) // 250))) as piece from w) select doc_id, piece, len(w[piece * 250 + 1 : piece * 250 + 250]) as words, sha256(array_to_string(w[piece * 250 + 1 : piece * 250 + 250], ' ')) as digest from p",
+    "stream_deduplicated": "select event_type, count(distinct event_id) as events from events group by 1",
+    "formatted_answers": rf"""with e as (select item_id, expected, replace(replace(replace(replace(replace(expected || ' See https://nav.example/list?a=1&b=2.', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') as t from golden_items)
+ select item_id, regexp_replace(t, '(https?://\S*?[^\s])([.,]?)(\s|$)', '[\1](\1)\2\3', 'g') as html, expected || chr(10) || chr(10) || 'Source: N/A' || chr(10) || 'Last updated from sources: 2026-06-01' as cited from e""",
+    "context_budget": rf"""with d as (select source, doc_id, text, {_words("text")} as w, row_number() over (partition by source order by doc_id) as rank from documents where source is not null and text is not null),
+ u as (select *, 2 + len({_words("source || ':'")}) + coalesce(sum(len(w)) over (partition by source order by rank rows between unbounded preceding and 1 preceding), 0) as used from d),
+ p as (select source, rank, case when used + len(w) <= 2000 then text else coalesce(nullif(regexp_extract(array_to_string(w[1 : (2000 - used)::bigint], ' '), '(?s)^(.*[.!?])', 1), ''), array_to_string(w[1 : (2000 - used)::bigint], ' ')) end as part from u where used < 2000),
+ c as (select source as query_id, trim('Information for ' || source || ':' || chr(10) || string_agg(part, ' ' order by rank), ' ') as context from p group by 1)
+ select query_id, context, len({_words("context")}) as words from c""",
+    "answer_verdicts": rf"""with a as (select category, query, lower(expected) as low, list_distinct(regexp_extract_all(expected, '\b\d+(?:\.\d+)?\b')) as n from golden_items),
+ v as (select category, case when {_any("low", [p for _, ps in D.BANNED for p in ps])} then 'REJECTED_PHRASE' when len(list_filter(n, lambda x: not contains(query, x))) > 0 then 'REJECTED_NUMBER' else 'APPROVED' end as status from a)
+ select category, status, count(*) as answers from v group by 1, 2""",
     "pricing_summary": "select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as quantity, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(*) as n from lineitem where l_shipdate <= date '1998-09-02' group by 1, 2",
     "revenue_by_nation": "select n_name, round(sum(o_totalprice), 2) as total, count(*) as orders from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1",
     "orders_without_items": "select o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem where l_quantity > 45)",

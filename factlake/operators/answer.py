@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +46,11 @@ def extractive(ctx: Column) -> Column:
     return F.element_at(text.answer_sentences(body), 1)
 
 
+def inferred(ctx: Column, question: Column, models: list[Callable[[Column, Column], Column]] | None = None) -> Column:
+    """The answer of the first model that gives one, in their order, else the extractive one. A model is (context, question) -> Column and gives null where it fails."""
+    return F.coalesce(*[F.nullif(F.trim(m(ctx, question)), F.lit("")) for m in models or []], extractive(ctx))
+
+
 def banned(t: Column, phrases=D.BANNED) -> Column:
     """All listed phrases in a text, in their order."""
     low = F.lower(t)
@@ -84,5 +91,9 @@ def linked(t: Column) -> Column:
     return F.regexp_replace(t, r"(https?://\S*?[^\s])([.,]?)(?=\s|$)", "[$1]($1)$2")
 
 
+def with_disclaimer(t: Column, disclaimer: str) -> Column:
+    return F.when(t.isNotNull(), F.concat(t, F.lit("\n\n" + disclaimer)))
+
+
 def failed(status: Column, t: Column) -> Column:
     return (status != 200) | F.lower(t).rlike("cannot process|unable to|no relevant information")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,12 @@ def url_allowed(df: DataFrame, allowed: DataFrame, url: str = "url") -> DataFram
     return df.where(F.try_parse_url(F.col(url), F.lit("PROTOCOL")) == "https").join(allowed.select(F.col("url").alias(url)).distinct(), url, "left_semi")
 
 
+def trusted(url: Column, hosts: list[str]) -> Column:
+    """Whether an address is at one of the hosts; a port counts as part of it, user and case do not."""
+    place = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/@?#]*@)?([^/?#]*)", 1))
+    return place.isin([h.lower() for h in hosts])
+
+
 def with_doc_id(df: DataFrame, sources: DataFrame, url: str = "url") -> DataFrame:
     """Adds the doc_id of a listed address, else DOC-UNKNOWN."""
     return df.join(sources.select(F.col("url").alias(url), "doc_id").dropDuplicates([url]), url, "left").withColumn("doc_id", F.coalesce("doc_id", F.lit("DOC-UNKNOWN")))
@@ -57,9 +65,10 @@ def chunk_manifest(docs: DataFrame, key: str = "doc_id", body: str = "text") ->
     return docs.select(F.col(key).alias(key), F.size(s).alias("sentences"), (F.size(s) - left).alias("discarded"), F.when(left == 0, "CORPUS_EMPTY").alias("error"))
 
 
-def embedded(chunks: DataFrame, dim: int = 64) -> DataFrame:
-    """Chunks with the default embedding and its length."""
-    e = chunks.withColumn("embedding", vectors.hashed_embedding(text.tokens(F.col("text")), dim))
+def embedded(chunks: DataFrame, dim: int = 64, embed: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Chunks with the embedding of their text and its length. embed is a model as Column -> Column, such as a pandas UDF; its vectors are cut or filled to dim and made unit vectors."""
+    v = vectors.l2_normalize(vectors.align(embed(F.col("text")), dim)) if embed else vectors.hashed_embedding(text.tokens(F.col("text")), dim)
+    e = chunks.withColumn("embedding", v)
     return e.withColumn("l2_norm", vectors.norm(F.col("embedding")))
 
 

@@ -48,14 +48,18 @@ def normalize_terms(q: Column, synonyms=D.SYNONYMS) -> Column:
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
-def aliases(docs: DataFrame) -> DataFrame:
-    """(alias, doc_id) of each page by its address; of equal aliases the last page's counts. docs has (doc_id, source_url)."""
+def aliases(docs: DataFrame, shorthands: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """(alias, doc_id) of each page by its address; of equal aliases the last page's counts. docs has (doc_id, source_url).
+
+    shorthands are (issuer's name, short form) in small letters: a fund whose name begins with the one can also be called by the other.
+    """
     slug = F.lower(F.element_at(F.split(F.regexp_replace("source_url", "/+$", ""), "/"), -1))
     for s in ("-direct-growth", "-direct", "-growth"):
         slug = F.replace(slug, F.lit(s), F.lit(""))
     name = F.trim(F.regexp_replace(F.regexp_replace(F.replace(slug, F.lit("-"), F.lit(" ")), r"[()]", ""), r"\s+", " "))
     short = F.regexp_replace(name, " fund$", "")
-    each = docs.where("source_url is not null").select("doc_id", F.explode(F.array_distinct(F.array(name, short))).alias("alias")).where("alias <> ''")
+    called = [F.when(n.startswith(issuer + " "), F.concat(F.lit(brief), F.substring(n, F.lit(len(issuer) + 1), F.length(n)))) for issuer, brief in shorthands for n in (name, short)]
+    each = docs.where("source_url is not null").select("doc_id", F.explode(F.array_distinct(F.array_compact(F.array(name, short, *called)))).alias("alias")).where("alias <> ''")
     return each.groupBy("alias").agg(F.max("doc_id").alias("doc_id"))
 
 
@@ -89,6 +93,11 @@ def fact_type(t: Column, names=D.FACT_NAMES) -> Column:
     return F.coalesce(*[F.when(low.contains(n), F.lit(k)) for n, k in by_length(names)])
 
 
+def fact_confidence(t: Column, names=D.FACT_NAMES) -> Column:
+    """1 where a fact type is named, else 0."""
+    return F.when(fact_type(t, names).isNotNull(), 1.0).otherwise(0.0)
+
+
 def compares(t: Column, funds: Column) -> Column:
     low = F.lower(t)
     return (F.size(funds) > 1) & functools.reduce(lambda a, b: a | b, [low.contains(w) for w in D.COMPARISONS])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RRF = 60
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 512
 
 
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vec: str = "embedding", within: str | None = None) -> DataFrame:
@@ -91,11 +91,12 @@ def single_source(candidates: DataFrame, source: str) -> DataFrame:
     return candidates.withColumn("_first", first).where(F.col(source).eqNullSafe(F.col("_first"))).drop("_first")
 
 
-def structured_lookup(asked: DataFrame, facts: DataFrame) -> DataFrame:
+def structured_lookup(asked: DataFrame, facts: DataFrame, least: float = 0.8) -> DataFrame:
     """(query_id, doc_id, fact_type, value, source_url, sentence): the fact of the first named fund that has it.
 
-    asked has (query_id, doc_ids array in order, fact_type); facts has (id, doc_id, fact_type, value, source_url).
+    asked has (query_id, doc_ids array in order, fact_type) and may have confidence, of which ``least`` is needed; facts has (id, doc_id, fact_type, value, source_url).
     """
+    asked = asked.where(F.col("confidence") >= least) if "confidence" in asked.columns else asked
     wanted = asked.select("query_id", "fact_type", F.posexplode("doc_ids").alias("pos", "doc_id"))
     one = facts.where("value is not null").groupBy("doc_id", "fact_type").agg(F.min_by("value", "id").alias("value"), F.min_by("source_url", "id").alias("source_url"))
     hit = wanted.join(one, ["doc_id", "fact_type"])

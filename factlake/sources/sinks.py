@@ -35,8 +35,10 @@ def replace_documents(existing: DataFrame, new: DataFrame, doc: str = "doc_id")
     return existing.join(new.select(doc).distinct(), doc, "left_anti").unionByName(new)
 
 
-def new_only(new: DataFrame, existing: DataFrame, key: str) -> DataFrame:
-    return new.join(existing.select(key).distinct(), key, "left_anti")
+def new_only(new: DataFrame, existing: DataFrame, key: str | list[str]) -> DataFrame:
+    """Rows of new whose key, of one or more columns, existing does not have."""
+    keys = [key] if isinstance(key, str) else key
+    return new.join(existing.select(*keys).distinct(), keys, "left_anti")
 
 
 def latest(cache: DataFrame, key: str, at: str) -> DataFrame:

@@ -52,24 +52,47 @@ def upsert_into(path: str, key: str, order: str):
     return apply
 
 
-def breaker(events: DataFrame, key: str, failed: str, threshold: int = 5) -> DataFrame:
-    """(key, failures, state) after each batch: closed, or open after ``threshold`` failures in a row."""
+def breaker(events: DataFrame, key: str, failed: str, threshold: int = 5, timeout: float = 300.0) -> DataFrame:
+    """(key, failures, state, refused) after each batch.
+
+    ``threshold`` failures in a row open the breaker. While it is open, calls within ``timeout`` seconds of the last failure are refused and count for
+    nothing; a later one is tried half open: a success closes the breaker, a failure opens it again. state is closed, open, or half_open where the
+    newest event of the watermark lies beyond the timeout and no call was tried since.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (run,) = state.get if state.exists else (0,)
-        for pdf in batches:
-            for bad in pdf.sort_values("ts")[failed]:
-                run = run + 1 if bad else 0
-        state.update((run,))
-        yield pd.DataFrame({key: [k[0]], "failures": [run], "state": ["open" if run >= threshold else "closed"]})
+        run, last, opened, refused = state.get if state.exists else (0, 0.0, False, 0)
+        # a micro-batch is bounded by the files a trigger takes
+        every = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        now = last
+        for at, bad in zip(every["ts"].map(lambda t: t.timestamp()), every[failed]):
+            now = max(now, at)
+            if opened and at - last <= timeout:
+                refused += 1
+            elif bad:
+                run, last = run + 1, at
+                opened = run >= threshold
+            else:
+                run, opened = 0, False
+        state.update((run, last, opened, refused))
+        shown = "closed" if not opened else "half_open" if now - last > timeout else "open"
+        yield pd.DataFrame({key: [k[0]], "failures": [run], "state": [shown], "refused": [refused]})
 
     kind = dict(events.dtypes)[key]
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, failures long, state string", "run long", "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, failures long, state string, refused long", "run long, last double, opened boolean, refused long", "update", GroupStateTimeout.NoTimeout)
 
 
 def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Everything there is now, into a memory table."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Everything there is now, as a table below the checkpoint's folder; no row passes through the driver.
+
+    In complete mode each batch replaces the result, else its rows are added under the batch's number, so that a batch that runs again writes the same.
+    """
+    schema, place = stream.schema, f"{checkpoint}/{name}"
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/result" if mode == "complete" else f"{place}/result/batch={batch_id}")
+
+    stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    spark = stream.sparkSession
+    return spark.read.schema(schema).option("basePath", f"{place}/result").parquet(f"{place}/result" if mode == "complete" else f"{place}/result/*")

@@ -306,6 +306,113 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(f"{table}/version=1").agg(F.sum("value")).first()[0] == 55 + 45
 
 
+def test_breaker_states(spark, tmp_path):
+    """Opens after failures in a row, refuses within the timeout, tries half open behind it."""
+    calls = [("a", 0, True), ("a", 10, True), ("a", 20, False), ("a", 400, False), ("b", 0, True), ("b", 10, True), ("b", 350, True), ("b", 360, False), ("c", 0, True), ("c", 1, False), ("c", 2, True)]
+    rows = spark.createDataFrame([(i, k, t, f) for i, (k, t, f) in enumerate(calls)], "i long, user_id string, t int, bad boolean")
+    rows = rows.selectExpr("i", "user_id", "cast(timestamp'2026-01-01 00:00:00' + make_dt_interval(0, 0, 0, t) as timestamp_ntz) as ts", "bad")
+    rows.coalesce(1).write.parquet(str(tmp_path / "e"))
+    stream = streams.timed(streams.read(spark, str(tmp_path / "e"), rows.schema))
+    b = streams.run_once(streams.breaker(stream, "user_id", "bad", 2), "breaker", str(tmp_path / "c"), "update")
+    got = {r["user_id"]: (r["state"], r["failures"], r["refused"]) for r in b.collect()}
+    assert got == {"a": ("closed", 0, 1), "b": ("open", 3, 1), "c": ("closed", 1, 0)}
+
+
+def test_stream_results_are_tables(spark, tmp_path):
+    rows = spark.sql("select id as event_id, timestamp_ntz'2026-01-01 00:00:00' + make_dt_interval(0, 0, cast(id * 10 as int)) as ts, 'a' as event_type, 1.0D as value from range(20)")
+    rows.unionByName(rows).write.parquet(str(tmp_path / "e"))
+    stream = streams.timed(streams.read(spark, str(tmp_path / "e"), rows.schema))
+    d = streams.run_once(streams.deduplicated(stream, "event_id"), "once", str(tmp_path / "c"), "append")
+    assert d.count() == 20 and set(d.columns) >= {"event_id", "ts"}
+
+
+# --- audit of a run --------------------------------------------------------------------------------
+
+
+def test_audit_checks(spark):
+    m = spark.createDataFrame([("r", "hashed", 64, 3, 2, 1, 2, 2)], "run_id string, model string, expected_dim int, total_chunks long, embedded long, rejected long, stored long, documents long")
+    said = lambda c: tuple(c.first())[1:]
+    assert said(audit.manifest_check(m, ["hashed"], [64], 2)) == (False, "rejected chunks")
+    assert said(audit.manifest_check(m, ["other"], [32], 9)) == (False, "model not listed; dimension not listed; rejected chunks; documents missing")
+    assert said(audit.manifest_check(m.withColumn("rejected", F.lit(0)), ["hashed"], [64], 2)) == (True, "valid")
+    assert said(audit.manifest_check(m.drop("model"), ["hashed"], [64], 2)) == (False, "missing columns: model")
+    assert said(audit.columns_check(m, "t", ["model", "zzz"])) == (False, "missing columns: zzz") and said(audit.columns_check(m.where("false"), "t", ["model"])) == (False, "no rows")
+    assert said(audit.count_check(m, "t", F.lit(1))) == (True, "1 of 1") and said(audit.count_check(m, "t", F.lit(None).cast("long")))[0] is False
+    d = spark.createDataFrame([("a",), ("b",), (None,)], "doc_id string")
+    assert said(audit.coverage_check(d.where("doc_id = 'a'"), d, d)) == (True, "0 of 1 documents incomplete")
+    assert said(audit.coverage_check(d.where("doc_id is not null"), d, d.where("doc_id = 'a'")))[0] is False
+    assert said(audit.subset_check(d, "t", ["a", "z", "y"], "doc_id")) == (False, "missing: y, z") and said(audit.subset_check(d, "t", ["a"], "doc_id")) == (True, "all")
+    good, bad = audit.count_check(m, "one", F.lit(1)), audit.count_check(m, "two", F.lit(2))
+    s = audit.summary(audit.checks_of(good, bad), "r").first()
+    assert (s["passed"], s["failed"], s["live"], s["failures"]) == (1, 1, False, "two") and audit.summary(good, "r").first()["live"]
+    registry = spark.createDataFrame([("r0", "2026-01-01")], "run_id string, activated_at string")
+    run = spark.createDataFrame([("r1", "2026-01-02")], registry.schema)
+    assert {r[0] for r in audit.swapped(registry, run, bad).collect()} == {"r0"} and {r[0] for r in audit.swapped(registry, run, good).collect()} == {"r0", "r1"}
+    assert {r[0] for r in audit.swapped(registry, run, good.where("false")).collect()} == {"r0"}
+
+
+def test_embed_totals(spark):
+    c = spark.createDataFrame([("c1",), ("c1",), ("c2",), ("c3",)], "chunk_id string")
+    v = spark.createDataFrame([("c1", [1.0, 0.0]), ("c2", [0.0, 0.0])], "chunk_id string, embedding array<float>")
+    assert tuple(audit.embed_totals(c, v, c, 2).first()) == (3, 1, 2, 4)
+    f = spark.createDataFrame([("a", "nav", "1"), ("a", "nav", "2"), ("a", "aum", None), ("z", "nav", "1")], "doc_id string, fact_type string, value string")
+    got = audit.facts_of_chunks(spark.createDataFrame([("a", "1"), ("a", "1"), ("b", "2")], "doc_id string, chunk_id string"), f).collect()
+    assert {tuple(r) for r in got} == {("a", 1, 2, 1), ("b", 1, 0, 0)}
+
+
+def test_trusted_hosts(spark):
+    urls = ["https://a.example/x", "https://A.EXAMPLE", "https://a.example:8443/x", "https://a.example.evil.test/", "https://u@a.example/", "a.example", "", None]
+    assert one(spark, urls, lambda u: ingest.trusted(u, ["a.example"])) == [True, True, False, False, True, False, False, False]
+
+
+def test_new_facts_by_several_columns(spark):
+    a = spark.createDataFrame([(1, "d", "nav"), (2, "d", "aum"), (3, "e", "nav")], "i int, doc_id string, fact_type string")
+    assert {r["i"] for r in sinks.new_only(a, a.where("i = 1"), ["doc_id", "fact_type"]).collect()} == {2, 3} and {r["i"] for r in sinks.new_only(a, a.where("i = 1"), "doc_id").collect()} == {3}
+
+
+def test_models_in_tiers(spark):
+    """The first model that answers counts; without one the first sentence of the context does."""
+    df = spark.createDataFrame([(1, "Information for x:\nFirst. Second.", "q")], "i int, c string, q string")
+    silent, loud = (lambda c, q: F.lit(" ")), (lambda c, q: F.concat(F.lit("said "), q))
+    ask = lambda models: df.select(answer.inferred(F.col("c"), F.col("q"), models)).first()[0]
+    assert ask(None) == "First." and ask([silent]) == "First." and ask([silent, loud]) == "said q"
+    assert df.select(answer.with_disclaimer(F.col("q"), "No advice.")).first()[0] == "q\n\nNo advice."
+
+
+def test_pipeline_takes_models_and_addresses(spark):
+    chunks = [("c1", "D1", "https://a.example/acme-gold", "The nav of acme gold fund is 10.5 today."), ("c2", "D2", "https://b.example/zed-cap", "Holdings of zed cap fund: bank stocks 12%.")]
+    c = spark.createDataFrame(chunks, "chunk_id string, doc_id string, source_url string, text string")
+    facts = spark.createDataFrame([(1, "D1", "https://a.example/acme-gold", "nav", "10.5"), (2, "D2", "https://b.example/zed-cap", "nav", "1")], "id long, doc_id string, source_url string, fact_type string, value string")
+    q = spark.createDataFrame([(1, "What is the NAV of Acme Gold?"), (2, "Holdings of Zed Cap compared with Acme Gold?"), (3, "My PAN is ABCDE1234F"), (4, "NAV of Zed Cap?")], "query_id long, query string")
+    length = lambda t: F.array(F.length(t).cast("float"), F.lit(1.0).cast("float"))
+    allowed = spark.createDataFrame([("https://a.example/acme-gold",)], "url string")
+    got = {r["query_id"]: r for r in pipeline.answers(q, c, facts, "2026-01-01", embed=length, models=[lambda ctx, question: F.lit("It is 10.5.")], allowed=allowed).collect()}
+    assert got[1]["response"].startswith("It is 10.5.\n\nSource: https://a.example/acme-gold") and got[1]["status"] == "APPROVED"
+    assert got[2]["status"] == "ADVISORY" and got[3]["status"] == "PERSONAL_DATA" and got[4]["status"] == "UNKNOWN" and got[4]["response"] is None
+
+
+def test_alias_shorthands(spark):
+    d = spark.createDataFrame([("D1", "https://a.example/icici-prudential-gold-fund-direct-growth")], "doc_id string, source_url string")
+    assert {r["alias"] for r in query.aliases(d, (("icici prudential", "icici"),)).collect()} == {"icici prudential gold fund", "icici prudential gold", "icici gold fund", "icici gold"}
+    assert {r["alias"] for r in query.aliases(d).collect()} == {"icici prudential gold fund", "icici prudential gold"}
+
+
+def test_lookup_needs_confidence(spark):
+    facts = spark.createDataFrame([(1, "D1", "nav", "10", "https://a.example/x-y")], "id long, doc_id string, fact_type string, value string, source_url string")
+    asked = spark.createDataFrame([(1, ["D1"], "nav", 1.0), (2, ["D1"], "nav", 0.5), (3, ["D9", "D1"], "nav", 0.8), (4, [], "nav", 1.0)], "query_id long, doc_ids array<string>, fact_type string, confidence double")
+    got = {r["query_id"]: r["sentence"] for r in retrieve.structured_lookup(asked, facts).collect()}
+    assert got == {1: "The nav for X Y is 10.", 3: "The nav for X Y is 10."}
+
+
+def test_table_function(spark):
+    from factlake.functions import sqlfunctions
+
+    sqlfunctions.register(spark)
+    got = spark.sql("select id, c.* from values (1, 'a b c d e'), (2, ''), (3, cast(null as string)), (4, ' x ') t(id, body), lateral chunk_text(body, 2) c").collect()
+    assert sorted((r["id"], r["piece"], r["words"], r["text"]) for r in got) == [(1, 0, 2, "a b"), (1, 1, 2, "c d"), (1, 2, 1, "e"), (2, 0, 0, ""), (4, 0, 1, "x")]
+    assert spark.sql("select plain_numbers('10,24,916'), percent('0.5')").first()[:] == ("1024916", "0.5%")
+
+
 # --- quantities ---------------------------------------------------------------------------------------
 
 
