@@ -146,6 +146,24 @@ _CHECKS = rf"""with m as ({_TOTALS}), log as (select count(distinct doc_id) as n
   union all select 'integrity', bad = 0 and n > 0, bad || ' of ' || n || ' vectors invalid' from vec
   union all select 'fact_types', count(distinct fact_type) = 3, case when count(distinct fact_type) = 3 then 'all' else 'missing' end from structured_fact where fact_type in ('nav', 'aum', 'exit_load'))"""
 
+_SPACE = r"[\t\n\x0B\f\r\x{85}\pZ]"
+
+
+def _sentences(column: str) -> str:
+    """Sentences of a text: periods of abbreviations are hidden one abbreviation after the other, then every end before a capital is marked."""
+    t = column
+    for a in sorted(D.ABBREVIATIONS, key=len, reverse=True):
+        t = rf"regexp_replace({t}, '(?i)(^|[^\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]){a}\.', '\1{a}' || chr(1), 'g')"
+    t = rf"regexp_replace({t}, '([.!?]){_SPACE}+([A-Z])', '\1' || chr(2) || '\2', 'g')"
+    return rf"list_filter(list_transform(string_split({t}, chr(2)), lambda x: regexp_replace(replace(x, chr(1), '.'), '^{_SPACE}+|{_SPACE}+$', '', 'g')), lambda x: x <> '')"
+
+
+def _noise(column: str) -> str:
+    return f"(not {_any(f'lower({column})', D.PROTECTED)} and {_any(f'lower({column})', D.NOISE)})"
+
+
+_DEPENDENT = "|".join(D.DEPENDENT)
+
 SQL: dict[str, str] = {
     "fact_sources": "select distinct source_url from structured_fact",
     "facts_per_document": "select doc_id, count(*) as facts, count(distinct fact_type) as types from structured_fact group by 1",
@@ -244,6 +262,13 @@ SQL: dict[str, str] = {
     "answer_verdicts": rf"""with a as (select category, query, lower(expected) as low, list_distinct(regexp_extract_all(expected, '\b\d+(?:\.\d+)?\b')) as n from golden_items),
  v as (select category, case when {_any("low", [p for _, ps in D.BANNED for p in ps])} then 'REJECTED_PHRASE' when len(list_filter(n, lambda x: not contains(query, x))) > 0 then 'REJECTED_NUMBER' else 'APPROVED' end as status from a)
  select category, status, count(*) as answers from v group by 1, 2""",
+    "sentence_tokens": f"""with t as (select doc_id, {_sentences("text")} as s from documents), u as (select doc_id, unnest(s) as sentence, unnest(range(len(s))) as n from t)
+ select doc_id, n, sentence, {_noise("sentence")} as noise, not regexp_matches(lower(sentence), '^({_DEPENDENT})') as self_contained from u""",
+    "chunking_manifest": f"""with t as (select doc_id, unnest({_sentences("coalesce(text, '')")}) as s from documents), n as (select doc_id, count(*) as sentences, count(*) filter {_noise("s").join(("(where ", ")"))} as discarded from t group by 1)
+ select d.doc_id, coalesce(sentences, 0) as sentences, coalesce(discarded, 0) as discarded, case when coalesce(sentences, 0) = coalesce(discarded, 0) then 'CORPUS_EMPTY' end as error from documents d left join n on n.doc_id = d.doc_id""",
+    "extraction_results": f"""with p as (select distinct chunk_id, doc_id, {_HTML} as h from chunks), v as (select doc_id, {_visible("h")} as t from p),
+ n as (select doc_id, {" + ".join(f"cast(regexp_matches(t, {_lit(p)}) as int)" for _, p, c in D.FACT_PATTERNS if c == "HIGH")} as high, {" + ".join(f"cast(regexp_matches(t, {_lit(p)}) as int)" for _, p, _ in D.FACT_PATTERNS)} as facts from v)
+ select doc_id, high >= 2 as extraction_success, count(*) as pages, sum(facts)::bigint as facts from n group by 1, 2""",
     "pricing_summary": "select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as quantity, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(*) as n from lineitem where l_shipdate <= date '1998-09-02' group by 1, 2",
     "revenue_by_nation": "select n_name, round(sum(o_totalprice), 2) as total, count(*) as orders from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1",
     "orders_without_items": "select o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem where l_quantity > 45)",
