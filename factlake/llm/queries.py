@@ -89,17 +89,22 @@ def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_cleaned, p3_found, p3_sentences, p4_found, p4_main_body, p6_pack, p6_quality, p7_found, p7_report, p8_found, p8_languages, p8_segments)}
 _WINDOW = "concat_ws(' ', w, " + ", ".join(f"lead(w, {i}) over o" for i in range(1, 12)) + ")"
-# Only what plain SQL can state over the whole tables; the other queries are tested against brute force, round trips and held-out accuracy.
-SQL: dict[str, str] = {
-    "p2_found": r"""
+_REPEATED = r"""
 with own as (select chunk_id, doc_id, text, nullif(regexp_replace(regexp_extract(lower(trim(source_url)), '^[a-z][a-z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1), '^(?:www|m)\.', ''), '') as site from chunks),
  of_doc as (select doc_id, min(site) as doc_site from own where site is not null group by 1),
  c as (select chunk_id, own.doc_id, text, coalesce(site, doc_site) as site from own left join of_doc on of_doc.doc_id = own.doc_id),
- l as (select chunk_id, doc_id, site, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line_no from c where site is not null),
- k as (select chunk_id, doc_id, site, line_no, replace(lower(regexp_replace(line, '[^\p{L}]+', '', 'g')), 'ß', 'ss') as key from l),
+ l as (select chunk_id, doc_id, site, text, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line_no from c where site is not null),
+ k as (select chunk_id, doc_id, site, text, line_no, replace(lower(regexp_replace(line, '[^\p{L}]+', '', 'g')), 'ß', 'ss') as key from l),
  n as (select site, count(distinct doc_id) as n from c group by 1),
- f as (select site, key, count(distinct doc_id) as f from k where key <> '' group by 1, 2)
-select distinct chunk_id, cast(line_no as int) as line_no from k join f using (site, key) join n using (site) where f >= 5 and f >= 0.04 * n""",
+ f as (select site, key, count(distinct doc_id) as f from k where key <> '' group by 1, 2)"""
+# Only what plain SQL can state over the whole tables; the other queries are tested against brute force, round trips and held-out accuracy.
+SQL: dict[str, str] = {
+    "p2_found": _REPEATED + " select distinct chunk_id, cast(line_no as int) as line_no from k join f using (site, key) join n using (site) where f >= 5 and f >= 0.04 * n",
+    "p2_cleaned": _REPEATED + r""",
+ g as (select chunk_id, text, list(distinct line_no) as gone from k join f using (site, key) join n using (site) where f >= 5 and f >= 0.04 * n group by 1, 2),
+ t as (select distinct chunk_id, text from chunks)
+select t.chunk_id, case when gone is null then t.text else array_to_string(list_filter(string_split(t.text, chr(10)), lambda x, i: not list_contains(gone, i)), chr(10)) end as text, coalesce(len(gone), 0) as removed
+from t left join g on g.chunk_id = t.chunk_id and g.text = t.text""",
     "p7_found": r"""
 with d as (select doc_id, regexp_extract_all(replace(lower(regexp_replace(text, '[\x{AD}\x{200B}-\x{200F}\x{2060}-\x{206F}\x{FEFF}]+', '', 'g')), 'ß', 'ss'), '[\p{L}\p{N}]+') as w from documents),
  t as (select item_id, query as text from golden_items union all select item_id, expected from golden_items),
