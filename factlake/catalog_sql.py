@@ -269,6 +269,24 @@ SQL: dict[str, str] = {
     "extraction_results": f"""with p as (select distinct chunk_id, doc_id, {_HTML} as h from chunks), v as (select doc_id, {_visible("h")} as t from p),
  n as (select doc_id, {" + ".join(f"cast(regexp_matches(t, {_lit(p)}) as int)" for _, p, c in D.FACT_PATTERNS if c == "HIGH")} as high, {" + ".join(f"cast(regexp_matches(t, {_lit(p)}) as int)" for _, p, _ in D.FACT_PATTERNS)} as facts from v)
  select doc_id, high >= 2 as extraction_success, count(*) as pages, sum(facts)::bigint as facts from n group by 1, 2""",
+    "semantic_chunks": f"""with recursive t as (select doc_id, {_sentences("text")} as s from documents where text is not null), k as (select doc_id, list_filter(s, lambda x: not {_noise("x")}) as s from t), u as (select doc_id, unnest(s) as s, unnest(range(1, len(s) + 1)) as i from k),
+ x as (select doc_id, s, i, {_case_pairs("lower(s)", D.CHUNK_TYPES, _lit("overview"))} as t, {_words("s")} as w from u), y as (select *, len(w)::int as n from x),
+ fold(doc_id, i, cur, ns, typ, em) as (
+  select distinct doc_id, 0::bigint, []::varchar[], []::int[], 'overview', []::struct(body varchar, kind varchar, n int)[] from y
+  union all
+  select f.doc_id, f.i + 1,
+   case when y.n > 250 then [] when len(cur) > 0 and list_sum(ns) + y.n > 250 then case when ns[-1] + y.n <= 250 then [cur[-1], y.s] else [y.s] end else list_append(cur, y.s) end,
+   case when y.n > 250 then [] when len(cur) > 0 and list_sum(ns) + y.n > 250 then case when ns[-1] + y.n <= 250 then [ns[-1], y.n] else [y.n] end else list_append(ns, y.n) end,
+   case when y.n > 250 or len(cur) > 0 and list_sum(ns) + y.n > 250 or y.t <> 'overview' then y.t else typ end,
+   case when y.n > 250 then list_concat(case when len(cur) > 0 then [{{'body': array_to_string(cur, ' '), 'kind': typ, 'n': list_sum(ns)::int}}] else [] end,
+      list_transform(range(0, (y.n + 249) // 250), lambda k: {{'body': array_to_string(w[k * 250 + 1 : k * 250 + 250], ' '), 'kind': y.t, 'n': len(w[k * 250 + 1 : k * 250 + 250])::int}}))
+    when len(cur) > 0 and list_sum(ns) + y.n > 250 then list_concat([{{'body': array_to_string(cur, ' '), 'kind': typ, 'n': list_sum(ns)::int}}], case when ns[-1] + y.n <= 250 then [] else [{{'body': cur[-1], 'kind': typ, 'n': ns[-1]}}] end)
+    else [] end
+  from fold f join y on y.doc_id = f.doc_id and y.i = f.i + 1),
+ last as (select doc_id, max(i) as i from fold group by 1),
+ every as (select doc_id, i, em from fold union all select f.doc_id, f.i + 1, [{{'body': array_to_string(cur, ' '), 'kind': typ, 'n': list_sum(ns)::int}}] from fold f join last l on l.doc_id = f.doc_id and l.i = f.i where len(cur) > 0),
+ c as (select doc_id, i, unnest(em) as c, unnest(range(len(em))) as k from every), o as (select doc_id, row_number() over (partition by doc_id order by i, k) - 1 as idx, c from c)
+ select doc_id, idx, sha256(doc_id || '|' || idx || '|' || c.body) as chunk_id, c.kind as chunk_type, c.n as token_count, idx > 0 as overlap, c.body as text from o""",
     "pricing_summary": "select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as quantity, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(*) as n from lineitem where l_shipdate <= date '1998-09-02' group by 1, 2",
     "revenue_by_nation": "select n_name, round(sum(o_totalprice), 2) as total, count(*) as orders from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1",
     "orders_without_items": "select o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem where l_quantity > 45)",
