@@ -3,11 +3,12 @@
 For every pair (UTF-8 read as X of READINGS) the garbled form of each plausible character
 is precomputed and put into one Aho-Corasick automaton. Only matched spans
 are rewritten, so correct text around them stays as it is. Text that was
-damaged twice is repaired by running the automaton until nothing matches.
+damaged more than once is repaired by running the automata until nothing matches.
 
 Double-byte readings (UTF-8 read as GBK) cross character borders, so there the
 automaton only finds trigger characters and the whole double-byte run is turned
-back. Characters that were lost (U+FFFD, cut sequences) are reported, not guessed.
+back. Words of Cyrillic or Greek code pages read as cp1252 have no sign of their own in them; they are told by standing
+wholly beyond ASCII and turning into small letters of one alphabet. Characters that were lost (U+FFFD, cut sequences) are reported, not guessed.
 
 Defined results: a null or empty text is undamaged and stays as it is; repeated rows give
 one row per key in ``p1_found`` and one per distinct (key, text) in the repair;
@@ -41,7 +42,9 @@ MORE = (
 # Readings in which two garbled characters may be genuine, and signs that do not follow a letter in genuine text.
 RARE = ("koi8_r", "cp850", "cp1250", "cp1254", "cp866", "iso8859_2", "iso8859_15")
 NO_FOLLOWER = "©¨¬¦¤"
-MAX_ROUNDS = 8
+# Alphabets whose own code page was read as cp1252: code page, first and last letter. A word of letters beyond ASCII alone does not occur in Latin script.
+ALPHABETS = (("cp1251", "Ё", "ё"), ("koi8_r", "Ё", "ё"), ("cp1253", "Ά", "ώ"))
+WORD, BESIDE = 5, 2  # letters of a word that tells such a reading, and of further words beside it
 LOST = "�"
 
 
@@ -149,12 +152,37 @@ def _undo_single(text: str) -> tuple[str, int, bool]:
     return "".join(out) + text[at:], len(hits), any(h[3] == 2 for h in hits)
 
 
+_ALIEN = re.compile(r"(?<![A-Za-z\u00c0-\u024f])[\u00c0-\u00ff]+(?![A-Za-z\u00c0-\u024f])")
+
+
+def _undo_alphabet(text: str) -> tuple[str, int]:
+    """(text, spans) after words of one alphabet that were read as cp1252 are turned back: all their letters must be of the alphabet, small behind the first."""
+    words = [m for m in _ALIEN.finditer(text) if len(m[0]) >= BESIDE]
+    if not any(len(m[0]) >= WORD for m in words):
+        return text, 0
+
+    def back(word: str, codec: str, first: str, last: str) -> str | None:
+        read = word.encode("cp1252").decode(codec, "replace")
+        return read if all(first <= c <= last and c.isalpha() for c in read) and (read[1:].islower() or len(read) == 1) else None
+
+    every = [[(m, b) for m in words if (b := back(m[0], *alphabet))] for alphabet in ALPHABETS]
+    found = max(every, key=lambda f: sum(len(b) for _, b in f))  # the alphabet that explains most
+    if not any(len(b) >= WORD for _, b in found):
+        return text, 0
+    out, at = [], 0
+    for m, b in found:
+        out += [text[at : m.start()], b]
+        at = m.end()
+    return "".join(out) + text[at:], len(found)
+
+
 def repair(text: str | None) -> tuple[str | None, int, bool]:
     """(restored text, number of damaged spans, whether part of the original is lost)."""
     if not text or text.isascii():
         return text, 0, False
     lost, spans = LOST in text, len(re.findall(LOST + "+", text))
-    for turn in range(MAX_ROUNDS):
+    turn = 0
+    while True:  # ends, as what is turned back has fewer bytes
         new, n, gone = _undo_single(text)
         if new == text:
             new, m, more = _undo_double(text)
@@ -164,7 +192,12 @@ def repair(text: str | None) -> tuple[str | None, int, bool]:
         lost |= gone
         if new == text:
             break
-        text = new
+        shorter = len(new.encode("utf-8", "surrogatepass")) < len(text.encode("utf-8", "surrogatepass"))
+        text, turn = new, turn + 1
+        if not shorter:  # only where part of the original is lost
+            break
+    text, n = _undo_alphabet(text)
+    spans += n
     return text, spans, lost or LOST in text
 
 

@@ -41,6 +41,22 @@ def test_encoding_leaves_genuine_letters(text):
     assert encoding.repair(text) == (text, 0, False)
 
 
+@pytest.mark.parametrize(("codec", "text"), [("cp1251", "Привет, мир – обзор фонда"), ("koi8_r", "Привет мир фонда"), ("cp1253", "Ετήσια απόδοση του")])
+def test_encoding_of_other_alphabets(codec, text):
+    """Texts of a code page of another alphabet, read as cp1252."""
+    bad = text.encode(codec, "replace").decode("cp1252", "replace") if "–" not in text else text.replace("–", "-").encode(codec).decode("cp1252")
+    fixed, spans, _ = encoding.repair(f"NAV 5: {bad}")
+    assert spans and fixed == f"NAV 5: {text.replace('–', '-')}"
+
+
+def test_encoding_many_rounds():
+    """Damage done many times over is undone as often."""
+    bad = text = "Größe – é"
+    for _ in range(11):
+        bad = encoding._read(bad.encode(), "cp1252")
+    assert encoding.repair(bad)[0] == text
+
+
 def test_encoding_lost_is_reported():
     assert encoding.repair("Fund � note")[1:] == (1, True)
     assert encoding.repair(None) == (None, 0, False)
