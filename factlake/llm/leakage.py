@@ -82,6 +82,7 @@ class Matcher:
 
         self.least = least
         self.parts = [(i, name, w) for i, name, text in parts if len(w := words(text)) >= least]
+        self.words = [frozenset(w) for _, _, w in self.parts]
         self.budget = [budget(len(w), edits) for _, _, w in self.parts]
         pieces: dict[str, list[tuple[int, int, int]]] = {}
         for n, (_, _, w) in enumerate(self.parts):
@@ -133,7 +134,10 @@ class Matcher:
                 if (k or runs[part] >= self.least) and (part, step) not in tried:
                     tried.add((part, step))
                     at = step * (k + 1)
-                    near[part] = min(near.get(part, len(w)), myers(w, doc[max(0, at - k) : max(0, at + len(w) + 3 * k)]))
+                    passage = doc[max(0, at - k) : max(0, at + len(w) + 3 * k)]
+                    # each edit spoils at most one word, so a passage within the budget holds the others
+                    if runs[part] >= self.least or sum(map(self.words[part].__contains__, passage)) >= len(w) - k:
+                        near[part] = min(near.get(part, len(w)), myers(w, passage))
         return {p: (r, near.get(p, len(self.parts[p][2]))) for p, r in runs.items() if r >= self.least or near.get(p, len(self.parts[p][2])) <= self.budget[p]}
 
 
