@@ -56,7 +56,10 @@ ANCESTORS = ("subject", "subject_alone", "no_subject_known", "block_ends>=0.5",
 
 def tokens(line: str) -> list[str]:
     """Words, signs and, where words have no spaces, pairs of characters."""
-    low = line.lower()
+    return _tokens(line.lower())
+
+
+def _tokens(low: str) -> list[str]:
     if low.isascii():
         return _ASCII.findall(low)
     out = []
@@ -75,20 +78,22 @@ _SIZES, _COUNTS = (12, 24, 40, 70, 110, 180, 300), (3, 6, 10, 16, 30)
 _STOPS = (". ", "? ", "! ", "।", "。")
 
 
-def structure(line: str) -> list[int]:
-    """Which of STRUCTURE hold, as numbers."""
+def structure(line: str, words: int | None = None) -> list[int]:
+    """Which of STRUCTURE hold, as numbers. words is the number of its words, if known."""
     s = line.strip()
-    n, words = len(s), len(s.split())
+    n = len(s)
+    words = len(s.split()) if words is None else words
     parts = 1
     for c in _SEPARATORS:
         if c in s:
             parts = len(_SEPARATOR.findall(s)) + 1
             break
-    digits = len(_DIGIT.findall(s))
+    ascii_ = s.isascii()
+    digits = sum(map(s.count, "0123456789")) if ascii_ else len(_DIGIT.findall(s))
     capital = len(_CAPITAL.findall(s)) / max(1, words)
-    ends = _SENTENCE_END.search(s) is not None
+    ends = _SENTENCE_END.search(s, max(0, n - 12)) is not None
     stops = ends + sum(map(s.count, _STOPS))
-    if s.isascii():
+    if ascii_:
         latin, other = _LATIN.search(s) is not None, False
     else:
         latin, other = _LATIN.search(s) is not None, _OTHER.search(s) is not None
@@ -164,10 +169,12 @@ class Model:
         got = self._lines.get(line)
         if got is None:
             v = len(self.vocabulary)
-            s = structure(line)
+            low = line.lower()
+            words = low.split()
+            s = structure(line, len(words))
             of = self.of
-            own = [of[t] for t in tokens(line) if t in of] + [v + i for i in s]
-            got = own, _ENDS in s, _CHARS40 not in s, _PARTS2 in s, _DIGITS in s, " ".join(line.lower().split())
+            own = [of[t] for t in _tokens(low) if t in of] + [v + i for i in s]
+            got = own, _ENDS in s, _CHARS40 not in s, _PARTS2 in s, _DIGITS in s, " ".join(words)
             if len(self._lines) < 20_000:
                 self._lines[line] = got
         return got
