@@ -67,15 +67,16 @@ def excess_lines(df: DataFrame, lines: DataFrame | None = None, false_discoverie
     sited = df.where("site is not null")
     if lines is None:
         lines = _keyed(lines_of(sited, "site", "doc_id"))
-    site_docs = sited.select("site", "doc_id").distinct().groupBy("site").agg(F.count("*").alias("n1"))
+    site_docs = written(sited.select("site", "doc_id").distinct().groupBy("site").agg(F.count("*").alias("n1")))
     seen = lines.select("site", "doc_id", "k1", "k2").distinct()
     per_site = seen.groupBy("site", "k1", "k2").agg(F.count("*").alias("a"))
     per_site = written(per_site)
     # a line that every site carries has a row a site: totals are aggregated in two steps and joined back, no window holds them all
     per_site = written(per_site.join(per_site.groupBy("k1", "k2").agg(F.sum("a").alias("all")), ["k1", "k2"]))
-    rate = per_site.agg((F.sum("a") / F.sum(F.col("a") / F.col("all"))).alias("r"))
-    docs = site_docs.agg(F.sum("n1").alias("n"))
-    t = per_site.join(site_docs, "site").withColumn("n", docs.scalar()).withColumn("ordinary", F.least(rate.scalar() / F.col("n"), F.lit(0.5)))
+    # single figures over all rows; as scalar subqueries they would repeat their branches in every plan that follows
+    rate = per_site.agg(F.sum("a") / F.sum(F.col("a") / F.col("all"))).first()[0]
+    docs = site_docs.agg(F.sum("n1")).first()[0]
+    t = per_site.join(site_docs, "site").withColumn("n", F.lit(docs).cast("long")).withColumn("ordinary", F.least(F.lit(rate).cast("double") / F.col("n"), F.lit(0.5)))
     t = t.withColumn("n0", F.greatest(F.col("n") - F.col("n1"), F.lit(1)).cast("double"))
     # the outside rate of the line itself, smoothed, or that of an ordinary line where it is smaller
     t = t.withColumn("rate", F.least((F.col("all") - F.col("a") + 0.5) / (F.col("n0") + 1), F.col("ordinary")))
@@ -90,8 +91,8 @@ def excess_lines(df: DataFrame, lines: DataFrame | None = None, false_discoverie
     # Benjamini-Hochberg on at most LAST_BIN + 1 rows: all of a bin counts with its largest chance.
     bins = t.groupBy("bin").agg(F.count("*").alias("c"))
     down = bins.withColumn("rank", F.sum("c").over(Window.orderBy(F.desc("bin")))).withColumn("m", F.sum("c").over(Window.partitionBy()))
-    line = down.where(chance(F.col("bin") / BINS_A_UNIT) * F.col("m") <= false_discoveries * F.col("rank")).agg(F.coalesce(F.min("bin"), F.lit(LAST_BIN + 1)).alias("cut"))
-    return t.where(F.col("bin") >= line.scalar()).where("g > 0").select("site", "k1", "k2", F.col("a").alias("docs"), F.col("n1").alias("site_docs"))
+    cut = down.where(chance(F.col("bin") / BINS_A_UNIT) * F.col("m") <= false_discoveries * F.col("rank")).agg(F.min("bin")).first()[0]
+    return t.where(F.col("bin") >= F.lit(LAST_BIN + 1 if cut is None else cut)).where("g > 0").select("site", "k1", "k2", F.col("a").alias("docs"), F.col("n1").alias("site_docs"))
 
 
 def repeated(df: DataFrame, least_docs: int = 5, least_share: float = 0.04, **options) -> DataFrame:
