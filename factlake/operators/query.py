@@ -4,12 +4,26 @@ from __future__ import annotations
 
 import functools
 import re
-
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+from itertools import pairwise
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructType
 
+from factlake.common import written
 from factlake.functions import dictionaries as D
 
+# The bits that tell which word runs may be names: so many a name, least and most as powers of two, in pages of bitmap_construct_agg's size.
+_BITS, _LEAST, _MOST, _PAGE = 128, 15, 28, 15
+# Bytes of text that a worker splits at once.
+_PART = 4_000_000
+_STEP, _MIX = np.uint64(0xD6E8FEB86659FD93), {"begins": np.uint64(0x9E3779B97F4A7C15), "whole": np.uint64(0xC2B2AE3D27D4EB4F)}
+
 
 def sanitize(q: Column, most: int = 200) -> Column:
     return F.substring(F.trim(q), 1, most)
@@ -63,18 +77,123 @@ def aliases(docs: DataFrame, shorthands: tuple[tuple[str, str], ...] = ()) -> Da
     return each.groupBy("alias").agg(F.max("doc_id").alias("doc_id"))
 
 
+class _Words:
+    """The words of some texts in one row: each as a number (code), with the hash of each number; text i has those from at[i] to before at[i + 1]."""
+
+    def __init__(self, texts: pa.Array):
+        lists = pc.split_pattern(texts, " ")
+        coded = lists.flatten().dictionary_encode()
+        self.at, self.code, self.words = lists.offsets.to_numpy(), coded.indices.to_numpy(), coded.dictionary
+        self.hash = pd.util.hash_array(self.words.to_numpy(zero_copy_only=False), categorize=False)
+
+    def longer(self, at: np.ndarray, end: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the runs of n words from at, with hash h, in texts up to end: those with a word behind them, with that word."""
+        more = at + n < end
+        at, end, h = at[more], end[more], h[more]
+        return at, end, h * _STEP + self.hash[self.code[at + n]]
+
+
+def _slots(h: np.ndarray, size: int, kind: str) -> np.ndarray:
+    """The places of hashes among 2 ** size bits."""
+    return ((h ^ (h >> np.uint64(32))) * _MIX[kind]) >> np.uint64(64 - size)
+
+
+def _marks(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The bits of names: one for each run of words that one begins with, one for the whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = _Words(batch.column(0))
+            at, end, n, slots = w.at[:-1], w.at[1:], 1, []
+            h = w.hash[w.code[at]]
+            while at.size:
+                slots += [_slots(h, size, "begins"), _slots(h[at + n == end], size, "whole")]
+                at, end, h = w.longer(at, end, h, n)
+                n += 1
+            if slots:
+                each = np.unique(np.concatenate(slots)).astype("int64")
+                yield pa.RecordBatch.from_arrays([pa.array(each >> _PAGE), pa.array(each & (1 << _PAGE) - 1)], names=["page", "place"])
+
+    return run
+
+
+def _name_bits(names: DataFrame) -> tuple[np.ndarray, int]:
+    """(bits, size): 2 ** size bits that are set for the names. Where names crowd them, more runs pass that are none."""
+    size = min(_MOST, max(_LEAST, (_BITS * names.count()).bit_length()))
+    pages = names.select("alias").mapInArrow(_marks(size), "page long, place long").groupBy("page").agg(F.bitmap_construct_agg("place").alias("bits"))
+    bits = np.zeros(1 << size - 3, "uint8")
+    for page, part in pages.collect():
+        bits[page << _PAGE - 3 : page + 1 << _PAGE - 3] = np.frombuffer(part, "uint8")
+    return bits, size
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about _PART bytes of text."""
+    upto = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False), dtype="int64") // _PART
+    for a, b in pairwise([0, *(np.flatnonzero(np.diff(upto)) + 1).tolist(), batch.num_rows]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def _runs(bits, size: int, key: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(key, at, n, alias): of (key, text), the runs of words that may be names, each at its first place in the row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        set_ = bits.value
+
+        def marked(h: np.ndarray, kind: str) -> np.ndarray:
+            slots = _slots(h, size, kind)
+            return (set_[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype("uint8") & 1).astype(bool)
+
+        for batch in batches:
+            for part in _parts(batch):
+                w = _Words(part.column(1))
+                at = np.flatnonzero(marked(w.hash, "begins")[w.code])
+                end, h, n = w.at[np.searchsorted(w.at, at, side="right")], w.hash[w.code[at]], 1
+                found = []
+                while at.size:
+                    whole = marked(h, "whole")
+                    found.append((at[whole], np.full(int(whole.sum()), n), h[whole]))
+                    at, end, h = w.longer(at, end, h, n)
+                    n += 1
+                    goes_on = marked(h, "begins")
+                    at, end, h = at[goes_on], end[goes_on], h[goes_on]
+                if not sum(f[0].size for f in found):
+                    continue
+                at, n, h = (np.concatenate(x) for x in zip(*found))
+                row = np.searchsorted(w.at, at, side="right") - 1
+                order = np.lexsort((at, h, row))
+                at, n, h, row = at[order], n[order], h[order], row[order]
+                first = np.append(True, (row[1:] != row[:-1]) | (h[1:] != h[:-1]))
+                lead = np.flatnonzero(first)[np.cumsum(first) - 1]
+                # equal hashes of other words are no repetition
+                first |= n != n[lead]
+                for j in range(int(n.max())):
+                    k = np.flatnonzero((n > j) & ~first)
+                    first[k] = w.code[at[k] + j] != w.code[at[lead[k]] + j]
+                at, n, row = at[first], n[first], row[first]
+                word = w.words.to_pylist()
+                alias = [" ".join([word[c] for c in w.code[a : a + k].tolist()]) for a, k in zip(at.tolist(), n.tolist())]
+                columns = [part.column(0).take(pa.array(row)), pa.array(at - w.at[row], pa.int32()), pa.array(n, pa.int32()), pa.array(alias, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "at", "n", "alias"])
+
+    return run
+
+
 def find_funds(queries: DataFrame, named: DataFrame, key: str = "query_id", text: str = "query") -> DataFrame:
     """(key, doc_ids): the funds that each question names, longest alias first, none inside another's words.
 
-    Instead of comparing every question with every alias, all word runs of a question are looked up by equality.
+    Instead of comparing every question with every alias, word runs of a question are looked up by equality. A run is followed word
+    by word as long as bits of bounded size, sent to all, say that a name may begin so; the join then drops what is no name.
     """
-    w = F.split(F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{M}\p{N}_\s]", " "), r"\s+", " ")), " ")
-    base = queries.select(F.col(key).alias(key), w.alias("w"))
-    starts = base.select(key, "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("at"))
-    longest = named.agg(F.max(F.size(F.split("alias", " ")))).scalar()
-    runs = starts.select(key, "at", "w", F.explode(F.sequence(F.lit(1), F.least(longest, F.size("w") - F.col("at")))).alias("n"))
-    run = runs.select(key, "at", "n", F.array_join(F.slice("w", F.col("at") + 1, F.col("n")), " ").alias("alias"))
-    hit = run.join(named, "alias").withColumn("first", F.row_number().over(Window.partitionBy(key, "alias").orderBy("at"))).where("first = 1")
+    named = written(named.where("alias is not null"))
+    bits, size = _name_bits(named)
+    words = F.trim(F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{M}\p{N}_]+", " "))
+    base = queries.where(F.col(text).isNotNull()).select(F.col(key).alias(key), words.alias("words"))
+    schema = StructType([base.schema[key]]).add("at", IntegerType()).add("n", IntegerType()).add("alias", StringType())
+    run = base.mapInArrow(_runs(queries.sparkSession.sparkContext.broadcast(bits), size, key), schema)
+    # by question only: that serves both groupings, and lets the join split an alias that many questions name
+    hit = run.join(named, "alias").repartition(key).groupBy(key, "alias").agg(F.min("at").alias("at"), F.min("n").alias("n"), F.max("doc_id").alias("doc_id"))
     ordered = F.array_sort(F.collect_list(F.struct((-F.length("alias")).alias("l"), "at", "n", "doc_id")))
     got = hit.groupBy(key).agg(ordered.alias("h"))
     empty = F.array().cast("array<struct<l:int,at:int,n:int,doc_id:string>>")

@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,6 +210,57 @@ def test_funds(spark):
     assert got == {1: ["D1", "D3"]}
 
 
+def _stages(spark):
+    """Rows that each stage has shuffled, by the stage's number."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+
+def test_funds_shuffle_only_runs_that_may_be_names(spark):
+    named = spark.createDataFrame([("acme small cap", "D1"), ("acme gold of the far north east", "D2")], "alias string, doc_id string")
+    text = "word other thing " * 1000 + "acme small cap " * 500 + "acme gold of the far north west"
+    q = spark.createDataFrame([(i, text) for i in range(4)], "query_id long, query string")
+    before = max(_stages(spark), default=-1)
+    assert {r["query_id"]: r["doc_ids"] for r in query.find_funds(q, named).collect()} == {i: ["D1"] for i in range(4)}
+    # these texts have about 126 000 runs of up to seven words
+    assert 0 < sum(rows for stage, rows in _stages(spark).items() if stage > before) < 100
+
+
+def test_funds_match_brute_force(spark, monkeypatch):
+    def brute(texts, names):
+        first = {}
+        for text in texts:
+            if text is not None:
+                w = re.sub(r"\W+", " ", text.lower()).strip(" ").split(" ")
+                for at in range(len(w)):
+                    for n in range(1, len(w) - at + 1):
+                        if (run := " ".join(w[at : at + n])) in names:
+                            first[run] = min(first.get(run, at), at)
+        kept, ids = [], []
+        for run, at in sorted(first.items(), key=lambda x: (-len(x[0]), x[1])):
+            end = at + len(run.split(" "))
+            if not any(a <= at and end <= e for a, e in kept):
+                kept.append((at, end))
+                ids.append(names[run])
+        return list(dict.fromkeys(ids))
+
+    pick = random.Random(7)
+    vocab = ["acme", "zed", "gold", "cap", "fond", "größe", "基金", "a_b", "7", "ñu"]
+    names = {" ".join(pick.choices(vocab, k=pick.randint(1, 5))): f"D{i % 25}" for i in range(40)} | {" ".join(["acme"] * 30): "LONG", "gold-cap": "NEVER"}
+    rows = [(i, pick.choice(["", " ", "... "]) + pick.choice([" ", ", ", "\n", "\u00a0"]).join(pick.choices([*vocab, "Acme", "GOLD", "x"], k=pick.randint(0, 25))) + pick.choice(["", "!", " "])) for i in range(60)]
+    rows += [(1, "again Gold gold cap"), (2, None), (60, None), (61, ""), (62, "acme " * 40)]
+    want = {i: got for i in {i for i, _ in rows} if (got := brute([t for k, t in rows if k == i], names))}
+    q, named = spark.createDataFrame(rows, "query_id long, query string"), spark.createDataFrame(list(names.items()), "alias string, doc_id string")
+    assert {r["query_id"]: r["doc_ids"] for r in query.find_funds(q, named).collect()} == want
+    # texts split in small pieces, and bits so crowded that all runs pass
+    monkeypatch.setattr(query, "_PART", 50)
+    monkeypatch.setattr(query, "_name_bits", lambda names: (np.full(1 << 12, 255, "uint8"), 15))
+    assert {r["query_id"]: r["doc_ids"] for r in query.find_funds(q, named).collect()} == want
+    assert query.find_funds(q, named.limit(0)).collect() == []
+    assert query.find_funds(q.limit(0), named).collect() == []
+
+
 def test_answers(spark):
     assert one(spark, ["You SHOULD buy now, a safe bet", "fine"], answer.banned) == [["you should", "safe bet", "buy now"], []]
     df = spark.createDataFrame([("NAV is 10.92 as of 2026-05-06", "10.92 on 2026")], "a string, c string")
